@@ -67,3 +67,8 @@ def worker_threads() -> None:
     """Keeps native libraries in Python workers to the one core that a task has."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     os.environ.setdefault("OMP_NUM_THREADS", "1")
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once however often the body names it."""
+    return F.transform(F.array(value), body)[0]
