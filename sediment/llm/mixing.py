@@ -62,11 +62,12 @@ def rates(targets: DataFrame, most: int = MOST) -> DataFrame:
     return targets.withColumn("rate", F.when((size > 0) & (target > 0), F.least(found, F.lit(float(most)))).otherwise(0.0))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
-    """doc_id, source, size, source_size, target, rate, copies, taken of each row."""
+def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, row: str | None = None) -> DataFrame:
+    """doc_id (and the column ``row``), source, size, source_size, target, rate, copies, taken of each row."""
+    own = ["doc_id", *([row] if row else [])]
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
     mark = F.xxhash64("doc_id", "text")
-    sized = stage(docs.select("doc_id", "source", size.alias("size"), mark.alias("mark")).withColumn("bucket", F.pmod("mark", F.lit(BUCKETS))), "sizes")
+    sized = stage(docs.select(*own, "source", size.alias("size"), mark.alias("mark")).withColumn("bucket", F.pmod("mark", F.lit(BUCKETS))), "sizes")
     buckets = stage(sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")), "buckets")
     sources = rates(source_targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, most), most)
     whole = F.floor(F.col("rate") + 1e-9)
@@ -82,4 +83,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     more = (F.col("start") + inside + F.col("size") / 2 < F.col("rest")).cast("long")
     both = placed.filter(~split).withColumn("more", (end <= F.col("rest")).cast("long")).unionByName(placed.filter(split).withColumn("more", more))
     both = both.withColumn("copies", F.col("whole") + F.when(F.col("whole") < most, F.col("more")).otherwise(0))
-    return both.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return both.select(*own, "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
+    """The documents, each as often as the mix takes it, with their columns."""
+    keyed = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-docs")
+    copies = mix(keyed, weights, most, row="_row").filter("copies > 0").select("_row", "copies")
+    return keyed.join(copies, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
