@@ -1,0 +1 @@
+"""Operators on bytes, chunks, blocks and their tables."""
