@@ -90,6 +90,10 @@ def size_is_sane(comp_len, raw_len) -> Column:
 MODELS = (2, 3, 4, 5, 5, 6, 7, 10, 10)
 
 
+def _shift(bits: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), bits.cast("int"))
+
+
 def _power(n: Column) -> Column:
     """log2 of the next power of two."""
     return F.when(n <= 1, 0).otherwise(F.length(F.ltrim(F.bin(n - 1), F.lit("0")))).cast("int")
@@ -99,11 +103,10 @@ def working_set(level, block_len) -> Column:
     """Bytes that coding a block of ``block_len`` takes at a level."""
     level, n = F.greatest(F.lit(1), F.least(F.lit(9), _col(level))), _col(block_len).cast("bigint")
     models = F.element_at(F.array(*map(F.lit, MODELS)), level).cast("bigint")
-    share = _power(F.floor(F.shiftleft(F.lit(1).cast("bigint"), (level + 22).cast("int")) / models)) - 1
+    share = _power(F.floor(_shift(level + 22) / models)) - 1
     table = F.greatest(F.lit(16), F.least(_power(F.greatest(n * 2, F.lit(65536))), share))
     match = F.greatest(F.lit(12), F.least(_power(F.greatest(n, F.lit(4096))) - 2, level + 15))
-    one = F.lit(1).cast("bigint")
-    return models * F.shiftleft(one, table.cast("int")) + F.shiftleft(one, match.cast("int")) * 4 + 65536 * 33 * 2 + 65536 + n
+    return models * _shift(table) + _shift(match) * 4 + 65536 * 33 * 2 + 65536 + n
 
 
 def thread_plan(available, per_thread, requested) -> Column:

@@ -1,0 +1 @@
+"""Plans over the tables of an archive, and the catalogue of queries."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,3 +21,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def local_folder(spark: SparkSession) -> str:
+    """The shared folder as a path that ``open`` takes; archives are single files on a mounted file system."""
+    path = shared_folder(spark)
+    if not path.startswith(("file:", "/")):
+        raise ValueError(f"{path} is not mounted: name a mounted folder in spark.checkpoint.dir")
+    folder = "/" + path.removeprefix("file:").lstrip("/")
+    os.makedirs(folder, exist_ok=True)
+    return folder
