@@ -15,11 +15,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import crc32_ids, stage
 from .encoding import default_path, encoder
 from .token_files import id_type, with_end
 
+#: Partitions up to which their offsets, 16 bytes each, are broadcast; beyond, the ids are shuffled to meet them.
+BROADCAST_ROWS = 500_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -47,12 +50,12 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, length:
             at += int(ends[-1])
 
     encoded = stage(docs.select("doc_id", "text").mapInArrow(encode, "part long, place long, doc_id long, ids binary"), "packed-ids")
-    from pyspark.sql import functions as F
-
     width = np.dtype(dtype).itemsize
     totals = encoded.groupBy("part").agg(F.sum(F.octet_length("ids") / F.lit(width)).cast("long").alias("total")).orderBy("part").collect()
     base = np.concatenate([[0], np.cumsum([r.total for r in totals])]).tolist()
     bases = docs.sparkSession.createDataFrame([(r.part, b) for r, b in zip(totals, base, strict=False)], "part long, base long")
+    if len(totals) <= BROADCAST_ROWS:
+        bases = F.broadcast(bases)
     placed = encoded.join(bases, "part").select("doc_id", (F.col("base") + F.col("place")).alias("first"), "ids")
 
     def pieces(batches):
