@@ -4,8 +4,9 @@ Terms are lower-cased words. Document frequency is counted over all documents in
 rows of hashed counters; a term's frequency is the smaller one), so the lexicon, the terms in the band, is
 known to every task by data of a fixed size. Each slot of a fingerprint has a random subset of the lexicon; it
 holds a 16-bit hash of the sorted distinct terms of the text that are in the subset, or 0 if there are none. Subsets
-range from 1/4 to 1/256 of the lexicon, so that short and long texts have slots with a few terms; a last slot
-takes all terms. Likeness is the share of equal slots among those that either text fills.
+range from 1/4 to 1/1024 of the lexicon, so that short and long texts have slots with a single term; a last slot
+takes all terms. Likeness is the share of equal slots among those that either text fills, from the smallest subsets
+up to the first level at which ``ENOUGH`` slots are filled: there slots hold few terms, and a change spoils few.
 
 Null texts are empty; empty texts have equal fingerprints. Null ids come first; rows with equal ids follow each
 other by text. With one row the next document is the row itself; an empty table gives an empty result.
@@ -22,17 +23,22 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 ROWS, WIDTH = 2, 1 << 16
 #: Shares of all documents between which a term's document frequency lies.
 BAND = (0.002, 0.25)
-RATES = (4, 16, 64, 256)
-SLOTS = 64
+RATES = (4, 16, 64, 256, 1024)
+PER_RATE = 32
+SLOTS = PER_RATE * len(RATES)
+#: Filled slots that a likeness needs.
+ENOUGH = 12
 #: Sampled ids for each range of ids.
 SAMPLE = 20
 SLICE_CHARS = 4 << 20
 
 _SALT = np.random.default_rng(5).integers(0, 1 << 63, SLOTS, dtype=np.uint64)
-_LEVEL = np.array([(1 << 64) // RATES[j % len(RATES)] - 1 for j in range(SLOTS)], np.uint64)
+_LEVEL = np.array([(1 << 64) // RATES[j // PER_RATE] - 1 for j in range(SLOTS)], np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -62,6 +68,7 @@ def _cells(hashes: np.ndarray) -> list[np.ndarray]:
 def document_frequency(texts: DataFrame) -> tuple[np.ndarray, int]:
     """Counters (ROWS x WIDTH) of the one column's terms over all rows, and the number of rows."""
 
+    @lean
     def count(batches):
         total, n = np.zeros(ROWS * WIDTH, np.int64), 0
         for b in batches:
@@ -110,8 +117,13 @@ def fingerprints(texts: pa.Array, counters: np.ndarray, n_docs: int, band=BAND)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Share of equal slots among those that either fills, row by row."""
-    return ((a == b) & (a > 0)).sum(1) / ((a > 0) | (b > 0)).sum(1)
+    """Share of equal slots among those that either fills, row by row, of the smallest subsets that are filled enough."""
+    same, filled = (a == b) & (a > 0), (a > 0) | (b > 0)
+    by_level = lambda x: np.cumsum(np.stack([x[:, k * PER_RATE : (k + 1) * PER_RATE].sum(1) for k in reversed(range(len(RATES)))] + [x[:, -1]], 1), 1)
+    same, filled = by_level(same), by_level(filled)
+    at = np.where((filled >= ENOUGH).any(1), np.argmax(filled >= ENOUGH, 1), len(RATES))
+    rows = np.arange(len(a))
+    return same[rows, at] / filled[rows, at]
 
 
 def _ranges(keys: DataFrame, n: int) -> list[int]:
@@ -129,7 +141,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("key"), "doc_id", "text")
     bounds = _ranges(keyed.select("key"), n)
-    keyed = keyed.withColumn("part", sum((F.col("key") > b).cast("int") for b in bounds) if len(bounds) <= 8 else _searched(F.col("key"), bounds) if bounds else F.lit(0))
+    keyed = keyed.withColumn("part", _searched(F.col("key"), bounds))
     heads = sorted((r.part, r.key) for r in keyed.groupBy("part").agg(F.min("key").alias("key")).collect())
     follow = [(part, heads[(i + 1) % len(heads)][1]) for i, (part, _) in enumerate(heads)]
     after = spark.createDataFrame(follow, "part int, key long")
@@ -174,6 +186,7 @@ def fingerprint_documents(docs: DataFrame, band=BAND) -> DataFrame:
             "near_edited": likeness(own[:-1], other), "near_next": likeness(own[:-1], own[1:]),
         })
 
+    @lean
     def run(batches):
         ids, texts, chars, part, over = [], [], 0, None, False
         for b in batches:
