@@ -37,7 +37,6 @@ def _references(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     """Files (entry_idx, path, kind) in solidity order, and their references (entry_idx, pos, chunk_id, len, doc_id)."""
     docs = _documents(spark, sf_dir)
     files = layout.solidity_order(docs.select("path").distinct().withColumn("kind", F.lit(0)))
-    files = stage(files, "files")
     pos = F.row_number().over(Window.partitionBy("entry_idx").orderBy("doc_id")) - 1
     refs = docs.join(files.select("path", "entry_idx"), "path").withColumn("pos", pos)
     return files, stage(refs.select("entry_idx", "pos", "chunk_id", "len", "doc_id"), "refs")
@@ -46,14 +45,14 @@ def _references(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
 def archive_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Entries, chunks and blocks of the documents' archive; packed sizes are made up by a rule."""
     files, refs = _references(spark, sf_dir)
-    unique = stage(dedup.number_unique(refs), "unique")
+    unique = dedup.number_unique(refs)  # numbered from a written table
     packed = stage(layout.pack_blocks(unique, BLOCK), "packed")
     blocks = layout.block_table(packed)
     comp = (F.floor(F.col("raw_len") / 2) + F.col("block_idx") % 7).cast("long")
     method = F.when(F.col("block_idx") % 5 == 0, 0).otherwise(1)
     blocks = blocks.withColumn("method", method).withColumn("filter", F.when(F.col("block_idx") % 3 == 0, 0).when(F.col("block_idx") % 3 == 1, 1).otherwise(0x40 + F.col("block_idx") % 63 + 1).cast("int"))
-    blocks = stage(layout.block_offsets(blocks.withColumn("comp_len", F.when(F.col("method") == 0, F.col("raw_len")).otherwise(comp))), "blocks")
-    entries = stage(files.join(dedup.chunk_refs(refs, unique), "entry_idx"), "entries")
+    blocks = layout.block_offsets(blocks.withColumn("comp_len", F.when(F.col("method") == 0, F.col("raw_len")).otherwise(comp)))
+    entries = files.join(dedup.chunk_refs(refs, unique), "entry_idx")
     return entries, packed, blocks
 
 
@@ -172,7 +171,7 @@ def dedup_stats(spark, sf_dir):
 @_query(_ARCHIVE_SQL + "SELECT chunk_idx, len, block_idx FROM fold")
 def block_packing(spark, sf_dir):
     _, refs = _references(spark, sf_dir)
-    return layout.pack_blocks(stage(dedup.number_unique(refs), "unique"), BLOCK)
+    return layout.pack_blocks(dedup.number_unique(refs), BLOCK)
 
 
 @_query(_ARCHIVE_SQL + "SELECT chunk_idx, block_idx, offset_in_block FROM placed")
