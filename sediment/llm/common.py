@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
 import os
+import sys
 import uuid
 import zlib
 
@@ -72,3 +77,30 @@ def worker_threads() -> None:
 def let(value: Column, body) -> Column:
     """``body`` of ``value``, which is evaluated once however often the body names it."""
     return F.transform(F.array(value), body)[0]
+
+
+#: Rows of an Arrow batch: texts vary in length, and batches of texts or sets lie in the JVM and in Python at once.
+BATCH_ROWS = 2000
+
+
+def tuned(spark: SparkSession) -> None:
+    """Session settings of this subpackage: smaller Arrow batches, and Python workers that give memory back."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    env = spark.sparkContext.environment
+    for name, value in (("ARROW_DEFAULT_MEMORY_POOL", "system"), ("MALLOC_ARENA_MAX", "2"), ("MALLOC_TRIM_THRESHOLD_", str(1 << 20))):
+        env.setdefault(name, value)
+
+
+def lean(run):
+    """A function of batches that begins without what other operators keep in the worker, and ends without its own waste."""
+
+    @functools.wraps(run)
+    def lighter(batches):
+        if encoding := sys.modules.get("sediment.llm.encoding"):
+            encoding.release()
+        yield from run(batches)
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return lighter

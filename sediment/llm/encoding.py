@@ -205,3 +205,8 @@ def encoder(path: str) -> Encoder:
     if key not in _LOADED:
         _LOADED[key] = Encoder(path)
     return _LOADED[key]
+
+
+def release() -> None:
+    """Forgets the worker's encoders."""
+    _LOADED.clear()

@@ -33,8 +33,8 @@ PER_RATE = 32
 SLOTS = PER_RATE * len(RATES)
 #: Filled slots that a likeness needs.
 ENOUGH = 12
-#: Sampled ids for each range of ids.
-SAMPLE = 20
+#: Sampled ids for each range of ids, and ranges for each task, which even out what tasks get.
+SAMPLE, RANGES = 20, 8
 SLICE_CHARS = 4 << 20
 
 _SALT = np.random.default_rng(5).integers(0, 1 << 63, SLOTS, dtype=np.uint64)
@@ -140,12 +140,12 @@ def with_next(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("key"), "doc_id", "text")
-    bounds = _ranges(keyed.select("key"), n)
+    bounds = _ranges(keyed.select("key"), RANGES * n)
     keyed = keyed.withColumn("part", _searched(F.col("key"), bounds))
     heads = sorted((r.part, r.key) for r in keyed.groupBy("part").agg(F.min("key").alias("key")).collect())
     follow = [(part, heads[(i + 1) % len(heads)][1]) for i, (part, _) in enumerate(heads)]
     after = spark.createDataFrame(follow, "part int, key long")
-    heads_rows = keyed.drop("part").join(F.broadcast(after), "key")  # a row for each range, n at most
+    heads_rows = keyed.drop("part").join(F.broadcast(after), "key")  # a row for each range
     both = keyed.select("part", F.lit(0).alias("role"), "key", "doc_id", "text").unionByName(heads_rows.select("part", F.lit(1).alias("role"), "key", "doc_id", "text"))
     return both.repartition(n, "part").sortWithinPartitions("part", "role", "key", "text")
 

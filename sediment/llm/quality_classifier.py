@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stage
+from .common import lean, stage
 
 #: Bytes of an n-gram, and log2 of the number of hash buckets.
 N, BITS = 4, 16
@@ -36,7 +36,7 @@ FEW = 20
 #: Counts by which a bucket's ratio is drawn towards 1; buckets of fewer expected counts say little.
 PRIOR = 10.0
 #: Bytes of text that are hashed at once.
-SLICE = 8 << 20
+SLICE = 2 << 20
 BINS = 2048
 
 
@@ -73,6 +73,7 @@ def _parts(texts: pa.Array):
 def _counts(texts: DataFrame) -> np.ndarray:
     """Counts of the buckets over all texts of the one column."""
 
+    @lean
     def count(batches):
         total = np.zeros(1 << BITS, np.int64)
         for b in batches:
@@ -131,6 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS
     expected = raw * (target.sum() / max(1.0, raw.sum()))
     ratio = np.log((target + PRIOR) / (expected + PRIOR))
 
+    @lean
     def measure(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(_means(b.column(0), ratio)), b.column(1).cast(pa.int32())], ["x", "quality"])
@@ -142,31 +144,32 @@ def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS
 
 
 def log_weights(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
-    """The named columns with ``log_weight``, the log odds, and ``key``, the log odds with Gumbel noise."""
+    """The named columns with ``_weight``, the log odds, and ``_key``, the log odds with Gumbel noise."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 1 << BITS numbers, whatever the input
     uniform = (F.pmod(F.xxhash64(F.lit(17), "doc_id", "text"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     noisy = docs.select(*columns, F.coalesce(F.col("text"), F.lit("")).alias("_text"), (-F.log(-F.log(uniform))).alias("_noise"))
 
+    @lean
     def score(batches):
         m = shared.value
         for b in batches:
             weight = np.round(m.intercept + m.slope * _means(b.column(len(columns)), m.ratio), 9)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(weight), pa.array(weight + b.column(len(columns) + 1).to_numpy())], [*columns, "log_weight", "key"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(weight), pa.array(weight + b.column(len(columns) + 1).to_numpy())], [*columns, "_weight", "_key"])
 
-    schema = T.StructType([*docs.select(*columns).schema.fields, T.StructField("log_weight", T.DoubleType()), T.StructField("key", T.DoubleType())])
+    schema = T.StructType([*docs.select(*columns).schema.fields, T.StructField("_weight", T.DoubleType()), T.StructField("_key", T.DoubleType())])
     return noisy.mapInArrow(score, schema)
 
 
 def kth_largest(keys: DataFrame, k: int) -> float:
-    """The k-th largest of the column ``key``: counts in bins, then in the bins of the bin that holds it."""
-    low, high = keys.agg(F.min("key"), F.max("key")).first()
+    """The k-th largest of the column ``_key``: counts in bins, then in the bins of the bin that holds it."""
+    low, high = keys.agg(F.min("_key"), F.max("_key")).first()
     above = 0
     while low < high:
         width = (high - low) / BINS
         if low + width <= low:
             break
-        inside = keys.filter(F.col("key").between(low, high))
-        bins = inside.groupBy(F.least(F.floor((F.col("key") - low) / width), F.lit(BINS - 1)).alias("bin")).agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).collect()
+        inside = keys.filter(F.col("_key").between(low, high))
+        bins = inside.groupBy(F.least(F.floor((F.col("_key") - low) / width), F.lit(BINS - 1)).alias("bin")).agg(F.count("*").alias("n"), F.min("_key").alias("low"), F.max("_key").alias("high")).collect()
         for b in sorted(bins, key=lambda b: -b.bin):
             if above + b.n >= k:
                 low, high = b.low, b.high
@@ -177,18 +180,19 @@ def kth_largest(keys: DataFrame, k: int) -> float:
 
 def _least_key(keys: DataFrame) -> float:
     """The key of the last document that is kept."""
-    k = keys.filter("log_weight >= 0").count()
+    k = keys.filter("_weight >= 0").count()
     return kth_largest(keys, k) if k else math.inf
 
 
 def classify(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS) -> DataFrame:
     """doc_id, log_weight, key and ``kept`` of each row."""
     keys = stage(log_weights(docs, train(docs, labels, labelled_rows), ["doc_id"]), "quality-keys")
-    return keys.withColumn("kept", F.col("key") >= _least_key(keys))
+    least = _least_key(keys)
+    return keys.select("doc_id", F.col("_weight").alias("log_weight"), F.col("_key").alias("key"), (F.col("_key") >= least).alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS) -> DataFrame:
     """The documents that the classifier keeps, with their columns; scored twice rather than shuffled."""
     model = train(docs, labels, labelled_rows)
     least = _least_key(stage(log_weights(docs, model, ["doc_id"]), "quality-keys"))
-    return log_weights(docs, model, docs.columns).filter(F.col("key") >= least).select(*docs.columns)
+    return log_weights(docs, model, docs.columns).filter(F.col("_key") >= least).select(*docs.columns)
