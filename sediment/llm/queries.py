@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import table, tuned
 from .fingerprints import fingerprint_documents
 from .mixing import mix
 from .near_dedup import near_duplicates
+from .oracle import ORACLE_SQL
 from .packing import pack
 from .pii import pii
 from .quality_classifier import classify
@@ -58,5 +61,15 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "log_weight", "key", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_pii, op3_token_counts, op4_quality_rules, op5_fingerprints, op6_mixing, op7_near_dedup, op8_warc, op9_packing, op10_quality_classifier)}
-ORACLE_SQL: dict[str, str] = {}
+def _tuned(query):
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        tuned(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES = {f.__name__: _tuned(f) for f in (op1_token_files, op2_pii, op3_token_counts, op4_quality_rules, op5_fingerprints, op6_mixing, op7_near_dedup, op8_warc, op9_packing, op10_quality_classifier)}
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
