@@ -12,15 +12,19 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, component), the smallest node reachable, of each node of the edges (u, v); nothing is collected.
 
     Neighbours are reduced to minima before they are shuffled, so that a node of many edges loads no task.
-    Rounds stop when the edges are stars; each round's edges are a written table.
+    Rounds stop when the edges are stars; each round's edges are a written table. With fewer ``rounds`` nodes of equal
+    component are connected, but connected nodes may have different ones.
     """
     now = stage(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = None
-    while True:
+    if now.isEmpty():
+        return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    before, done = None, 0
+    while rounds is None or done < rounds:
+        done += 1
         ways = _both_ways(now)
         least = ways.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = ways.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

@@ -2,12 +2,17 @@
 
 A document is its set of distinct word shingles, held as 64-bit hashes. Documents with equal sets are one node.
 A node's sketch is the K smallest hashes of its set. Inverted lists (hash -> nodes whose sketch retains it) give
-candidates: two nodes of similarity 0.8 share, but for a chance below one in a million, half of their sketches or
-more, so they share one of the rarest values of both; only those are listed, and common shingles drop out whatever
-their number. Within short lists nodes meet in pairs. In a long list all nodes meet its smallest, the pivot; exact
-distances to the pivot then tell, by the triangle inequality (Jaccard distance is a metric), which other pairs can
-still be links; nodes far from the pivot form the next, smaller list. Lists that stay long are split by a second
-shared value. Candidates pass the estimate from the union's sketch, then the exact similarity of the full sets.
+candidates. Two nodes of similarity 0.8 share half of their sketches or more but for a chance below one in 100,000
+(sketches that hold whole sets share four fifths for certain), so they share several of the rarest values of both;
+only the rarest are listed, and common shingles drop out whatever their number.
+
+Nodes of short lists meet in pairs, counted over the lists. Long lists with the same smallest node, the pivot, form
+one group. The group's nodes first meet the pivot, and what is linked becomes one component. Then the sketches of
+nodes of different components are compared, in blocks of fixed size that any number of tasks may share, and only
+pairs that share enough leave the task; where these are many, the blocks' full sets are compared in the task instead,
+and only links that connect components leave it. All other candidates pass the estimate from the union's sketch and then the exact
+similarity of the full sets, which are computed again from the texts of the nodes concerned (found by a Bloom
+filter of fixed size, so that texts aren't shuffled).
 
 A text without words is linked with nothing. A null text is one without words. A null id is never the smallest
 unless a component has no other; rows with equal ids are told apart by their texts alone. An empty table gives an
@@ -16,6 +21,8 @@ empty result; other columns are ignored. No list, bucket or component has a cap.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -23,15 +30,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import lean, stage
 from .components import components
 from .fingerprints import _mix
 
-#: Retained hashes, similarity, values that candidates share, nodes of a short list.
-K, SIMILARITY, SHARED, SHORT = 48, 0.8, 4, 16
-#: Rounds of pivots before long lists are split, and before all their pairs are taken.
-SPLIT_AFTER, PAIRS_AFTER = 3, 8
-SLICE_ROWS = 1000
+#: Retained hashes, similarity, nodes of a short list, nodes of a block.
+K, SIMILARITY, SHORT, BLOCK = 48, 0.8, 4, 512
+#: Pairs for each member beyond which a pair of blocks is compared by full sets where it is.
+DENSE = 2
+SLICE_ROWS = 500
+#: Bits of the Bloom filter (as words of 64), and bits that an id sets.
+BLOOM_WORDS, BLOOM_BITS = 1 << 20, 4
 
 
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
@@ -70,6 +79,7 @@ def _key(s: np.ndarray) -> str:
 
 
 def _sketched(docs: DataFrame, width: int) -> DataFrame:
+    @lean
     def run(batches):
         for b in batches:
             for a in range(0, len(b), SLICE_ROWS):
@@ -83,116 +93,265 @@ def _sketched(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, set_key string, n_shingles long, sketch array<long>")
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """set_key and the set, as binary, of each row."""
+def _bloom_cells(key) -> list:
+    return [F.pmod(F.xxhash64(key, F.lit(k)), F.lit(BLOOM_WORDS * 64)) for k in range(BLOOM_BITS)]
 
-    def run(batches):
-        for b in batches:
-            for a in range(0, len(b), SLICE_ROWS):
-                sets = shingle_sets(b.column(0).slice(a, SLICE_ROWS), width)
-                yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in sets]), pa.array([s.tobytes() for s in sets], pa.binary())], ["set_key", "set"])
 
-    return docs.select("text").mapInArrow(run, "set_key string, set binary")
+def _bloom(ids: DataFrame) -> np.ndarray:
+    """The filter of the one column: BLOOM_WORDS words, whatever the input."""
+    cells = ids.select(F.explode(F.array(*_bloom_cells(F.col(ids.columns[0])))).alias("cell"))
+    words = cells.groupBy(F.shiftright("cell", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("cell").cast("int").bitwiseAND(F.lit(63)))).alias("bits"))
+    out = np.zeros(BLOOM_WORDS, np.uint64)
+    found = words.toPandas()
+    out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+class _Sets:
+    """Full sets of the nodes (node, set_key, id), as a table bucketed by set_key: joins with it move the other side only."""
+
+    def __init__(self, docs: DataFrame, chosen: DataFrame, width: int):
+        spark = docs.sparkSession
+        self.chosen = chosen.select("node", "set_key")
+        bits = spark.sparkContext.broadcast(_bloom(chosen.select("id")))
+
+        @lean
+        def run(batches):
+            for b in batches:
+                cells = np.stack([b.column(i + 1).to_numpy() for i in range(BLOOM_BITS)]).astype(np.uint64)
+                hit = (bits.value[(cells >> np.uint64(6)).astype(np.int64)] >> (cells & np.uint64(63)) & np.uint64(1)).all(0)
+                texts = b.column(0).filter(pa.array(hit))
+                for a in range(0, len(texts), SLICE_ROWS):
+                    sets = shingle_sets(texts.slice(a, SLICE_ROWS), width)
+                    yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in sets]), pa.array([s.tobytes() for s in sets], pa.binary())], ["set_key", "set"])
+
+        found = docs.select("text", *_bloom_cells(F.col("doc_id"))).toDF("text", *(f"c{i}" for i in range(BLOOM_BITS))).mapInArrow(run, "set_key string, set binary")
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        own = found.repartition(n, "set_key").join(self.chosen.select("set_key"), "set_key", "left_semi").groupBy("set_key").agg(F.first("set").alias("set"))
+        self.name = f"sets_{uuid.uuid4().hex}"
+        own.write.bucketBy(n, "set_key").sortBy("set_key").saveAsTable(self.name)
+        self.table = spark.table(self.name)
 
+    def drop(self) -> None:
+        self.table.sparkSession.sql(f"DROP TABLE {self.name}")
 
-def _lists(nodes: DataFrame) -> DataFrame:
+    def keyed(self, rows: DataFrame, node: str, key: str) -> DataFrame:
+        return rows.join(self.chosen.select(F.col("node").alias(node), F.col("set_key").alias(key)), node)
+
+    def joined(self, rows: DataFrame, key: str, name: str) -> DataFrame:
+        """The rows with the set of their key."""
+        return rows.join(self.table.select(F.col("set_key").alias(key), F.col("set").alias(name)), key)
+
+
+def _least_shared(size, similarity: float):
+    """Sketch values that a set of a size shares with that of any partner, at least."""
+    whole = size <= int(K * similarity)  # then every partner's sketch is its whole set too
+    return F.when(whole, F.ceil(size * similarity - 1e-9)).otherwise(F.ceil(F.least(size, F.lit(K)) / 2)).cast("int")
+
+
+def _lists(nodes: DataFrame, similarity: float) -> DataFrame:
     """(value, node, need): each node's rarest retained values that other nodes retain too.
 
-    A node's sketch of s values shares c = ceil(s / 2) or more with any partner's, so partners share
-    ``need`` = min(SHARED, c) of the s - c + need rarest values of both.
+    A node's sketch of s values shares c or more with any partner's, so partners share ``need`` <= c of the
+    s - c + need rarest values of both: of the values shared, ``need`` come before the last c - need of a sketch.
     """
-    rows = nodes.filter("n_shingles >= 4").select("node", F.size("sketch").alias("s"), F.explode("sketch").alias("value"))
+    rows = nodes.filter("n_shingles >= 4").select("node", "n_shingles", F.explode("sketch").alias("value"))
     often = rows.groupBy("value").agg(F.count("*").alias("n")).filter("n > 1")
-    found = rows.join(often, "value").groupBy("node", "s").agg(F.sort_array(F.collect_list(F.struct("n", "value"))).alias("values"))
-    least = F.ceil(F.col("s") / 2).cast("int")
-    need = F.least(F.lit(SHARED), least)
-    lonely = F.col("s") - F.size("values")
-    kept = F.slice("values", 1, F.greatest(F.lit(0), F.col("s") - least + need - lonely))
-    return found.select("node", need.alias("need"), kept.alias("values")).filter(F.size("values") >= F.col("need")).select("node", "need", F.explode("values.value").alias("value"))
+    found = rows.join(often, "value").groupBy("node", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("n", "value"))).alias("values"))
+    s = F.least(F.col("n_shingles"), F.lit(K)).cast("int")
+    least = _least_shared(F.col("n_shingles"), similarity)
+    need = F.greatest(F.lit(2), F.least(F.lit(4), F.floor(s / 10) + 1)).cast("int")
+    lonely = s - F.size("values")
+    kept = F.slice("values", 1, F.greatest(F.lit(0), s - least + need - lonely))
+    kept = found.select("node", need.alias("need"), kept.alias("values")).filter(F.size("values") >= F.col("need"))
+    return kept.select("node", "need", F.explode("values.value").alias("value"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float, keep_far: bool) -> DataFrame:
-    """(a, b, distance) of the pairs; those beyond the similarity only with ``keep_far``."""
-    near = 1 - similarity
+def _verified(pairs: DataFrame, sets: _Sets, similarity: float) -> DataFrame:
+    """The pairs (a, b) that are similar: by the estimate from their union's sketch, then exactly."""
 
+    @lean
     def run(batches):
         for b in batches:
             rows = []
             for x, y, raw_x, raw_y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
                 s, t = np.frombuffer(raw_x.as_buffer(), np.int64), np.frombuffer(raw_y.as_buffer(), np.int64)
-                if not keep_far:
-                    if min(len(s), len(t)) < similarity * max(len(s), len(t)) - 1e-9:
-                        continue
-                    union = np.union1d(s[:K], t[:K])[:K]
-                    both = np.isin(union, s[:K], True) & np.isin(union, t[:K], True)
-                    if both.sum() < len(union) / 2 - 1:
-                        continue
+                if min(len(s), len(t)) < similarity * max(len(s), len(t)) - 1e-9:
+                    continue
+                union = np.union1d(s[:K], t[:K])[:K]
+                both = np.isin(union, s[:K], True) & np.isin(union, t[:K], True)
+                if both.sum() < len(union) / 2 - 1:
+                    continue
                 shared = len(np.intersect1d(s, t, True))
-                union = len(s) + len(t) - shared
-                link = 100 * shared >= round(100 * similarity) * union
-                if link or keep_far:
-                    rows.append((x, y, min(near, 1 - shared / union) if link else max(1 - shared / union, near + 1e-12)))
-            cols = list(zip(*rows, strict=True)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["a", "b", "distance"])
+                if 100 * shared >= round(100 * similarity) * (len(s) + len(t) - shared):
+                    rows.append((x, y))
+            cols = list(zip(*rows, strict=True)) or [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
 
-    first = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a"))
-    second = sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long, distance double")
+    keyed = sets.keyed(sets.keyed(pairs, "a", "key_a"), "b", "key_b")
+    both = sets.joined(sets.joined(keyed, "key_a", "set_a"), "key_b", "set_b")
+    return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
-def _pairs(lists: DataFrame) -> DataFrame:
-    """(a, b) that share ``need`` listed values or more; the lists are short."""
+def _short_pairs(lists: DataFrame) -> DataFrame:
+    """(a, b) that share ``need`` values or more; the lists are of SHORT nodes at most."""
     other = lists.select("value", F.col("node").alias("b"), F.col("need").alias("need_b"))
     met = lists.select("value", F.col("node").alias("a"), F.col("need").alias("need_a")).join(other, "value").filter("a < b")
     return met.groupBy("a", "b").agg(F.count("*").alias("n"), F.first(F.least("need_a", "need_b")).alias("need")).filter("n >= need").select("a", "b")
 
 
+def _shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Values that each left and each right set share: a product of the incidence matrices of the common values."""
+    common = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    if left is right:  # values of one set alone add to its own count only
+        found, n = np.unique(np.concatenate(left), return_counts=True)
+        common = found[n > 1]
+    out = np.zeros((len(left), len(right)), np.float32)
+
+    def incidence(sets: list[np.ndarray], values: np.ndarray) -> np.ndarray:
+        m = np.zeros((len(sets), len(values)), np.float32)
+        flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.minimum(np.searchsorted(values, flat), len(values) - 1)
+        hit = values[at] == flat
+        m[row[hit], at[hit]] = 1
+        return m
+
+    for a in range(0, len(common), 2048):
+        values = common[a : a + 2048]
+        first = incidence(left, values)
+        out += first @ (first if left is right else incidence(right, values)).T
+    return out
+
+
+def _runs(batches, keys: int, last: int):
+    """Rows, as tuples, of each run of equal first ``keys`` columns; column ``last`` becomes arrays of long."""
+    rows: list = []
+    for b in batches:
+        plain, values = [b.column(k).to_pylist() for k in range(last)], b.column(last)
+        for n, r in enumerate(zip(*plain, strict=True)):
+            if rows and rows[0][:keys] != r[:keys]:
+                yield rows
+                rows = []
+            own = values[n]
+            rows.append((*r, np.frombuffer(own.as_buffer(), np.int64) if pa.types.is_binary(values.type) else own.values.to_numpy()))
+    if rows:
+        yield rows
+
+
+def _spanning(pairs) -> list[tuple[int, int, int, int]]:
+    """Those of the pairs (component, component, a, b) that connect what was apart."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    out = []
+    for p in pairs:
+        x, y = find(p[0]), find(p[1])
+        if x != y:
+            root[x] = y
+            out.append(p)
+    return out
+
+
+def _sides(rows: list, own: int):
+    left = [r for r in rows if r[own] == r[1]]
+    return left, left if rows[0][1] == rows[0][2] else [r for r in rows if r[own] == r[2]]
+
+
+def _block_pairs(members: DataFrame) -> DataFrame:
+    """Members of groups of several components, once for each pair of blocks (i, j) that their block takes part in."""
+    sizes = members.groupBy("pivot").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = members.join(sizes.select("pivot", blocks.alias("blocks")), "pivot").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select("pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component")
+
+
+def _together(rows: DataFrame) -> DataFrame:
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "pivot", "i", "j").sortWithinPartitions("pivot", "i", "j")
+
+
+def _candidates(dealt: DataFrame, about: DataFrame, similarity: float) -> DataFrame:
+    """(pivot, i, j, a, b) of different components whose sketches share enough; a null pair stands for a dense one of blocks."""
+
+    @lean
+    def run(batches):
+        for rows in _runs(batches, 3, 8):
+            left, right = _sides(rows, 3)
+            if not left or not right:
+                continue
+            counts = _shared_counts(*([r[8] for r in side] for side in ((left, right) if left is not right else (left,) * 2)))
+            node, comp, size, least = (([np.array([r[k] for r in side]) for side in (left, right)]) for k in (4, 5, 6, 7))
+            ok = counts >= np.maximum(least[0][:, None], least[1][None, :])
+            ok &= comp[0][:, None] != comp[1][None, :]
+            ok &= np.minimum(size[0][:, None], size[1][None, :]) >= similarity * np.maximum(size[0][:, None], size[1][None, :]) - 1e-9
+            if left is right:
+                ok &= node[0][:, None] < node[1][None, :]
+            x, y = np.nonzero(ok)
+            a, b = node[0][x], node[1][y]
+            pairs = [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))]
+            if len(x) > DENSE * len(rows):
+                pairs = [pa.array([None], pa.int64())] * 2
+            n = len(pairs[0])
+            yield pa.RecordBatch.from_arrays([*(pa.array([rows[0][k]] * n, t) for k, t in ((0, pa.int64()), (1, pa.int32()), (2, pa.int32()))), *pairs], ["pivot", "i", "j", "a", "b"])
+
+    rows = _together(dealt.join(about, "node").select("pivot", "i", "j", "own", "node", "component", "size", "least", "sketch"))
+    return rows.mapInArrow(run, "pivot long, i int, j int, a long, b long")
+
+
+def _dense_links(dealt: DataFrame, dense: DataFrame, sets: _Sets, similarity: float) -> DataFrame:
+    """(a, b) that are similar and connect components, of the dense pairs of blocks, by full sets."""
+
+    @lean
+    def run(batches):
+        for rows in _runs(batches, 3, 6):
+            left, right = _sides(rows, 3)
+            first, second = [r[6] for r in left], [r[6] for r in right]
+            counts = _shared_counts(first, first if left is right else second)
+            size = np.array([len(x) for x in first])[:, None] + np.array([len(x) for x in second])[None, :]
+            x, y = np.nonzero(100 * counts.astype(np.int64) >= round(100 * similarity) * (size - counts.astype(np.int64)))
+            found = _spanning((left[m][5], right[n][5], left[m][4], right[n][4]) for m, n in zip(x.tolist(), y.tolist(), strict=True) if left[m][4] != right[n][4])
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (2, 3)], ["a", "b"])
+
+    rows = sets.joined(sets.keyed(dealt.join(dense, ["pivot", "i", "j"], "left_semi"), "node", "set_key"), "set_key", "set")
+    return _together(rows.select("pivot", "i", "j", "own", "node", "component", "set")).mapInArrow(run, "a long, b long")
+
+
 def links(nodes: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Edges (a, b) enough to connect all nodes that chains of similar pairs connect."""
+    """Edges (u, v) enough to connect all nodes that chains of similar pairs connect."""
     near = 1 - similarity
-    lists = stage(_lists(nodes), "lists")
-    sizes = lists.groupBy("value").agg(F.count("*").alias("n"), F.min("node").alias("pivot"))
-    # A pair of nodes may meet in short and in long lists, so the short ones count pairs over all lists up to SHORT
-    # and pairs that also share a long list need one shared short list only.
-    sized = stage(lists.join(sizes, "value"), "sized-lists")
-    short = sized.filter((F.col("n") > 1) & (F.col("n") <= SHORT))
-    long_ = sized.filter(F.col("n") > SHORT)
-    in_long = long_.groupBy("node").agg(F.count("*").alias("n_long"))
-    spared = short.join(in_long, "node", "left").select("value", "node", F.greatest(F.lit(1), F.col("need") - F.coalesce("n_long", F.lit(0))).cast("int").alias("need"))
-    wanted = stage(_pairs(spared), "pairs")
-    named = wanted.select(F.col("a").alias("node")).union(wanted.select(F.col("b").alias("node"))).union(long_.select("node")).distinct()
-    chosen = nodes.join(named, "node").select("node", "set_key", F.col("sample").alias("doc_id"))
-    ids = chosen.select(F.col("doc_id").alias("id")).distinct()
-    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    sets = stage(_sets(texts, width).join(chosen.select("node", "set_key"), "set_key").dropDuplicates(["node"]).select("node", "set"), "sets")
-    edges = [_verified(wanted, sets, similarity, False).select("a", "b")]
-    round_, left = 0, long_.select("value", "node", "pivot")
-    while True:
-        left = stage(left, "long-lists")
-        if left.isEmpty():
-            break
-        star = left.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-        known = stage(_verified(star, sets, similarity, True), "stars")
-        edges.append(known.filter(F.col("distance") <= near).select("a", "b"))
-        placed = left.filter("node <> pivot").join(known, (F.col("pivot") == F.col("a")) & (F.col("node") == F.col("b"))).select("value", "node", "distance")
-        close = placed.filter(F.col("distance") <= near).select("value", F.col("node").alias("x"), F.col("distance").alias("dx"))
-        rim = placed.filter((F.col("distance") > near) & (F.col("distance") <= 2 * near + 1e-9)).select("value", F.col("node").alias("y"), F.col("distance").alias("dy"))
-        across = close.join(rim, "value").filter(F.col("dy") - F.col("dx") <= near + 1e-9).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        far = placed.filter(F.col("distance") > near).select("value", "node")
-        round_ += 1
-        if round_ == SPLIT_AFTER:
-            second = lists.select("node", F.col("value").alias("other"))
-            far = far.join(second, "node").filter("other <> value").select(F.xxhash64(F.least("value", "other"), F.greatest("value", "other")).alias("value"), "node")
-        n = far.groupBy("value").agg(F.count("*").alias("n"), F.min("node").alias("pivot"))
-        far = stage(far.join(n.filter("n > 1"), "value"), "far")
-        small = far if round_ >= PAIRS_AFTER else far.filter(F.col("n") <= SHORT)
-        more = _pairs(small.select("value", "node", F.lit(1).alias("need"))).union(across).distinct()
-        edges.append(_verified(more, sets, similarity, False).select("a", "b"))
-        left = far.filter((F.col("n") > SHORT) & F.lit(round_ < PAIRS_AFTER)).select("value", "node", "pivot")
-    found = edges[0]
-    for e in edges[1:]:
-        found = found.union(e)
-    return found
+    listed = stage(_lists(nodes, similarity), "lists")
+    sizes = listed.groupBy("value").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).filter("n > 1")
+    listed = stage(listed.join(sizes, "value"), "sized-lists")
+    short = stage(_short_pairs(listed.filter(F.col("n") <= SHORT)), "short-pairs")
+    groups = stage(listed.filter(F.col("n") > SHORT).groupBy("pivot", "node").agg(F.count("*").alias("shared")), "groups")
+    star = groups.filter((F.col("shared") > 2) & (F.col("pivot") != F.col("node"))).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    tested = star.union(short)
+    sets = _Sets(docs, _chosen(nodes, tested.select(F.col("a").alias("node")).union(tested.select("b"))), width)
+    first = stage(_verified(tested, sets, similarity).select(F.col("a").alias("u"), F.col("b").alias("v")), "first-edges")
+    sets.drop()
+    parts = stage(components(first, rounds=2).groupBy("node").agg(F.min("component").alias("component")), "components")
+    about = nodes.select("node", F.col("n_shingles").alias("size"), _least_shared(F.col("n_shingles"), similarity).alias("least"), "sketch")
+    members = groups.select("pivot", "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    dealt = stage(_block_pairs(stage(members, "members")), "blocks")
+    found = stage(_candidates(dealt, about, similarity), "candidates")
+    sparse = stage(found.filter("a is not null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "sparse")
+    dense = found.filter("a is null").select("pivot", "i", "j")
+    in_dense = dealt.join(dense, ["pivot", "i", "j"], "left_semi").select("node")
+    sets = _Sets(docs, _chosen(nodes, sparse.select(F.col("a").alias("node")).union(sparse.select("b")).union(in_dense)), width)
+    more = _verified(sparse, sets, similarity).union(_dense_links(dealt, dense, sets, similarity))
+    more = stage(more.select(F.col("a").alias("u"), F.col("b").alias("v")), "more-edges")
+    sets.drop()
+    return first.union(more)
+
+
+def _chosen(nodes: DataFrame, named: DataFrame) -> DataFrame:
+    return stage(nodes.join(named.distinct(), "node", "left_semi").select("node", "set_key", F.col("sample").alias("id")), "chosen")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = SIMILARITY) -> DataFrame:
@@ -201,7 +360,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = SIMILAR
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n_shingles", "sketch")).alias("x")
     sets = rows.filter("n_shingles > 0").groupBy("set_key").agg(first)
     nodes = stage(sets.select("set_key", F.monotonically_increasing_id().alias("node"), F.col("x.doc_id").alias("sample"), "x.n_shingles", "x.sketch"), "nodes")
-    found = components(links(nodes, docs, width, similarity).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    found = components(links(nodes, docs, width, similarity))
     grouped = nodes.select("node", "set_key", "sample").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = grouped.groupBy("component").agg(F.min("sample").alias("component_id"))
     by_set = grouped.join(smallest, "component").select("set_key", "component_id")
