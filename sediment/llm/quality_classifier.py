@@ -4,8 +4,8 @@ The target model is counted on labelled good documents, the raw model on every d
 compares the target's count with the count that the raw model expects. A document's mean log ratio, over its
 hashed byte n-grams, is calibrated to log odds on the labelled documents. Labelled documents are at most
 ``LABELLED_ROWS``, chosen by hash; all else covers every document. Log odds plus Gumbel noise drawn from a hash
-of the row are keys, and the k largest keys are kept, where k is the number of documents whose log odds are not
-negative. So k follows the data, and noise only decides among documents of about equal weight.
+of the row are keys, and the k largest keys are kept, where k is the number of documents whose log odds are at least
+``LEAST_ODDS``. So k follows the data, and noise only decides among documents of about equal weight.
 
 Counts of hashed n-grams are vectors of fixed size, summed per task and then across tasks. The k-th key is
 found by counting keys in ever finer bins, without sorting; documents that tie with it are all kept. Null and
@@ -31,8 +31,10 @@ from .common import lean, stage
 N, BITS = 4, 16
 #: Bound of the labelled rows that the target model and the calibration use.
 LABELLED_ROWS = 20_000
+#: Least log odds of documents that count as good: losing a good document costs e times keeping a bad one.
+LEAST_ODDS = -1.0
 #: n-grams of no evidence that every text's mean counts beside its own.
-FEW = 20
+FEW = 100
 #: Counts by which a bucket's ratio is drawn towards 1; buckets of fewer expected counts say little.
 PRIOR = 10.0
 #: Bytes of text that are hashed at once.
@@ -180,7 +182,7 @@ def kth_largest(keys: DataFrame, k: int) -> float:
 
 def _least_key(keys: DataFrame) -> float:
     """The key of the last document that is kept."""
-    k = keys.filter("_weight >= 0").count()
+    k = keys.filter(F.col("_weight") >= LEAST_ODDS).count()
     return kth_largest(keys, k) if k else math.inf
 
 
