@@ -33,6 +33,8 @@ N, BITS = 4, 16
 LABELLED_ROWS = 20_000
 #: Least log odds of documents that count as good: losing a good document costs e times keeping a bad one.
 LEAST_ODDS = -1.0
+#: Log ratios are summed as whole multiples of 1 / SCALE.
+SCALE = 1 << 24
 #: n-grams of no evidence that every text's mean counts beside its own.
 FEW = 100
 #: Counts by which a bucket's ratio is drawn towards 1; buckets of fewer expected counts say little.
@@ -117,11 +119,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float,
 
 def _means(texts: pa.Array, ratio: np.ndarray) -> np.ndarray:
     """Mean log ratio of each text's n-grams, drawn towards 0 where they are few."""
-    found = [np.zeros(0)]
+    found, fixed = [np.zeros(0)], np.round(ratio * SCALE).astype(np.int64)
     for h, begin, end in _parts(texts):
-        run = np.concatenate([[0.0], np.cumsum(ratio[h])])
+        run = np.concatenate([[0], np.cumsum(fixed[h])])  # whole numbers, so that sums don't depend on what lies before
         begin, end = np.minimum(begin, len(h)), np.minimum(end, len(h))
-        found.append((run[end] - run[begin]) / (end - begin + FEW))
+        found.append((run[end] - run[begin]) / SCALE / (end - begin + FEW))
     return np.concatenate(found)
 
 
@@ -139,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(_means(b.column(0), ratio)), b.column(1).cast(pa.int32())], ["x", "quality"])
 
-    got = labelled.mapInArrow(measure, "x double, quality int").toPandas()
+    got = labelled.mapInArrow(measure, "x double, quality int").toPandas().sort_values(["x", "quality"])
     if got.quality.nunique() < 2:
         return Model(ratio, 1.0, 0.0)
     return Model(ratio, *_logistic(got.x.to_numpy(), (got.quality == 1).to_numpy(float)))
