@@ -370,7 +370,7 @@ def size_sanity(spark, sf_dir):
 
 @_query(
     """WITH b AS (SELECT p_partkey, p_partkey % 140 AS byte FROM part) SELECT p_partkey, CASE WHEN byte = 0 THEN 'none' WHEN byte = 1 THEN 'x86' WHEN byte BETWEEN 65 AND 127 THEN 'delta' || (byte - 64) ELSE '?' END AS name,
-CASE byte % 3 WHEN 0 THEN 'stored' WHEN 1 THEN 'modelled' ELSE '?' END AS method, CASE WHEN byte BETWEEN 1 AND 63 THEN 64 + byte END AS parsed FROM b"""
+CASE byte % 3 WHEN 0 THEN 'stored' WHEN 1 THEN 'modelled' ELSE '?' END AS method, CASE WHEN byte BETWEEN 1 AND 63 THEN (64 + byte)::INT END AS parsed FROM b"""
 )
 def filter_names(spark, sf_dir):
     byte = F.col("p_partkey") % 140
