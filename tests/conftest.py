@@ -1,6 +1,13 @@
+import os
+import sys
+
 import pytest
 from pyspark.sql import SparkSession
 
+HERE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+os.environ["PYTHONPATH"] = os.pathsep.join([HERE, *filter(None, [os.environ.get("PYTHONPATH")])])  # for Python workers
+sys.path.insert(0, HERE)
+
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
