@@ -498,3 +498,56 @@ def analysis(spark, sf_dir):
     """Text is neither machine code nor incompressible."""
     rows = _table(spark, sf_dir, "benchmark").select("item_id", filters.analyze_column(F.encode(F.repeat("text", F.lit(40)), "utf-8")).alias("a"))
     return rows.select("item_id", (~F.col("a.incompressible") & (F.col("a.filter") != 1)).alias("analysed"))
+
+
+def _archive(spark, sf_dir, **options) -> str:
+    from ..sources import container
+
+    rows = _files(spark, sf_dir).select("path", F.lit(0).alias("kind"), F.lit(420).alias("mode"), F.lit(7).alias("mtime"), "content", F.lit(None).cast("string").alias("link_target"))
+    path = f"{local_folder(spark)}/documents-{uuid.uuid4().hex}.arc"
+    container.write_archive(rows, path, block_size=BLOCK, **options)
+    return path
+
+
+@_query("SELECT source || '/part.' || lang AS path, 420::BIGINT AS mode, 7::BIGINT AS mtime, sum(octet_length(encode(text)))::BIGINT AS size, left(sha256(string_agg(text, '' ORDER BY doc_id)), 32) AS content_id FROM documents GROUP BY ALL")
+def archive_entries(spark, sf_dir):
+    """The entries that the data source reads from an archive of all files."""
+    from ..sources import container
+
+    found = container.entries(spark, _archive(spark, sf_dir, method=0))
+    return found.select("path", "mode", "mtime", "size", F.lower(F.hex("content_id")).alias("content_id"))
+
+
+@_query("SELECT path, size FROM (SELECT source || '/part.' || lang AS path, sum(octet_length(encode(text)))::BIGINT AS size FROM documents GROUP BY ALL) WHERE starts_with(path, 'src1/') OR path = 'src2/part.en' OR starts_with(path, 'src3/')")
+def archive_extract(spark, sf_dir):
+    """The selected files, restored from an archive and read again as files."""
+    from ..sources import container
+
+    dest = f"{local_folder(spark)}/restored-{uuid.uuid4().hex}"
+    container.extract(spark, _archive(spark, sf_dir, method=0), dest, SELECTION).count()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(dest)
+    return files.select(F.substring_index(F.col("path"), f"{dest.rsplit('/', 1)[1]}/", -1).alias("path"), F.col("length").alias("size"))
+
+
+@_query("SELECT path, size FROM (SELECT source || '/part.' || lang AS path, sum(octet_length(encode(text)))::BIGINT AS size FROM documents GROUP BY ALL)")
+def cdc_rebuild(spark, sf_dir):
+    """Files put together again from deduplicated content-defined chunks, where the result has the file's content id."""
+    files = _files(spark, sf_dir)
+    cut = stage(chunking.chunk(files, key="path", sizes=_SIZES, scaled=True, keep_data=True), "cut")
+    unique = cut.groupBy("chunk_id").agg(F.first("data").alias("data"))
+    parts = cut.select("path", "pos", "chunk_id").join(unique, "chunk_id").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("pos", "data"))).alias("p"))
+    whole = F.aggregate(F.transform("p", lambda x: x["data"]), F.lit(b""), lambda a, b: F.concat(a, b))
+    built = parts.select("path", whole.alias("built")).join(files, "path")
+    return built.filter(hs.content_id("built") == hs.content_id("content")).select("path", F.octet_length("built").cast("long").alias("size"))
+
+
+@_query("SELECT o_orderkey, true AS same FROM orders")
+def hash_twins(spark, sf_dir):
+    """XXH64 in generated code equals the definition that the format's context hashes are built on."""
+
+    @F.pandas_udf("long")
+    def plain(x: pd.Series) -> pd.Series:
+        return pd.Series([hs.signed(hs.xxh64(v.encode())) for v in x])
+
+    key = F.concat_ws("|", F.col("o_orderkey").cast("string"), "o_orderpriority", F.repeat("o_orderstatus", (F.col("o_orderkey") % 70).cast("int")))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", (hs.checksum(F.encode(key, "utf-8")) == plain(key)).alias("same"))
