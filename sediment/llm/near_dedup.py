@@ -370,6 +370,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = SIMILAR
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents without near copies: of each component the one with the smallest id stays."""
+    """The documents without near copies: of each component the one with the smallest id stays.
+
+    Rows that share an id are one document here, and stay or go together. Documents without an id can't be the one that
+    is named, nor be told apart; one of each text stays.
+    """
     kept = near_duplicates(docs, width, similarity).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["_id"], "left_semi")
+    named = docs.join(kept, docs["doc_id"] == kept["_id"], "left_semi")
+    return named.unionByName(docs.filter(F.col("doc_id").isNull()).dropDuplicates(["text"]))

@@ -110,7 +110,7 @@ def test_pipeline(spark, tmp_path):
     rows = [(i, good(80), "en", "src%d" % (i % 3), 1) for i in range(60)]
     rows += [(100 + i, rows[i][1], "en", "src0", 1) for i in range(10)]
     rows += [(200 + i, " ".join(r.choice(["$$$###", "BUY!!", "|||"]) for _ in range(60)), "en", "src1", 1) for i in range(20)]
-    rows += [(300, good(30) + " mail me at someone@example.com now", "en", "src2", 1), (301, None, None, None, None), (302, "", "en", "src1", 0)]
+    rows += [(300, good(30) + " mail me at someone@example.com now", "en", "src2", 1), (301, None, None, None, None), (302, "", "en", "src1", 0), (None, good(70), "en", "src0", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, 1) for i in range(40)] + [(200 + i, 0) for i in range(10)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
@@ -122,10 +122,10 @@ def test_pipeline(spark, tmp_path):
         now = spark.read.parquet(f"{tmp_path}/{name}")
         seen.append({r.doc_id: r.text for r in now.collect()})
     quality, unique, private, mixed = seen
-    assert not any(200 <= i < 300 for i in quality) and all(i in quality for i in range(60))
-    assert not any(100 <= i < 200 for i in unique) and all(i in unique for i in range(60))
+    assert not any(200 <= (i or 0) < 300 for i in quality) and all(i in quality for i in range(60))
+    assert not any(100 <= (i or 0) < 200 for i in unique) and all(i in unique for i in range(60))
     assert private[300].endswith("mail me at <email> now") and all(private[i] == unique[i] for i in range(60))
-    assert set(mixed) <= set(private)
+    assert set(mixed) <= set(private) and all(None in x for x in (quality, unique, private))
     pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {p.doc_id for p in pieces} == set(mixed)
     for (a, b) in pairwise(sorted((p.sequence_id, p.offset, p.length) for p in pieces)):
