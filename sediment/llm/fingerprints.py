@@ -34,7 +34,7 @@ SLOTS = PER_RATE * len(RATES)
 #: Filled slots that a likeness needs.
 ENOUGH = 12
 #: Sampled ids for each range of ids, and ranges for each task, which even out what tasks get.
-SAMPLE, RANGES = 20, 8
+SAMPLE, RANGES = 4, 8
 SLICE_CHARS = 4 << 20
 
 _SALT = np.random.default_rng(5).integers(0, 1 << 63, SLOTS, dtype=np.uint64)
@@ -141,7 +141,13 @@ def with_next(docs: DataFrame) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("key"), "doc_id", "text")
     bounds = _ranges(keyed.select("key"), RANGES * n)
-    keyed = keyed.withColumn("part", _searched(F.col("key"), bounds))
+    shared = spark.sparkContext.broadcast(np.array(bounds, np.int64))  # a bound for each range
+
+    @F.pandas_udf("int")
+    def part(key: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(shared.value, key.to_numpy()).astype(np.int32))
+
+    keyed = keyed.withColumn("part", part("key"))
     heads = sorted((r.part, r.key) for r in keyed.groupBy("part").agg(F.min("key").alias("key")).collect())
     follow = [(part, heads[(i + 1) % len(heads)][1]) for i, (part, _) in enumerate(heads)]
     after = spark.createDataFrame(follow, "part int, key long")
@@ -150,18 +156,6 @@ def with_next(docs: DataFrame) -> DataFrame:
     return both.repartition(n, "part").sortWithinPartitions("part", "role", "key", "text")
 
 
-def _searched(key, bounds: list[int]):
-    """Number of bounds below the key, by halving: a balanced tree of comparisons."""
-
-    def tree(a: int, b: int):
-        if a == b:
-            return F.lit(a)
-        m = (a + b) // 2
-        return F.when(key > bounds[m], tree(m + 1, b)).otherwise(tree(a, m))
-
-    return tree(0, len(bounds))
-
-
 def edited(text: str, following: str) -> str:
     """The text with its last half replaced by the first as many code points of the one that follows."""
     half = len(text) // 2
