@@ -4,7 +4,8 @@ Every document gets a rate; among all rates that meet each source's token target
 the least token-weighted entropy distance from 1. The dual has one multiplier a source, rates are
 exp(multiplier), and its Hessian is diagonal, so Newton's steps run on the table of sources, row by row
 and in parallel. Rates become copies: every document gets the whole part, and the rest of the target goes
-to documents in hash order until their words reach it, which leaves at most half a document over or short.
+to documents in hash order until their words reach it, which leaves at most half a document over or short; then the
+one document of the source that fits what is left best is added or taken back.
 
 Sources are ranked by code point, null last. A null text has size 0 and nothing is taken of it. Rows with
 equal ids are documents of their own. An empty table gives an empty result. Other columns are ignored. A
@@ -62,6 +63,18 @@ def rates(targets: DataFrame, most: int = MOST) -> DataFrame:
     return targets.withColumn("rate", F.when((size > 0) & (target > 0), F.least(found, F.lit(float(most)))).otherwise(0.0))
 
 
+def _closer(rounded: DataFrame) -> DataFrame:
+    """Changes ``more`` of one document of a source where that brings the source's words closest to its target."""
+    left = rounded.groupBy("key").agg((F.first("rest") - F.sum(F.col("more") * F.col("size"))).alias("left"))
+    open_ = rounded.join(left, "key").filter(F.when(F.col("left") > 0, (F.col("more") == 0) & (F.col("whole") < MOST)).otherwise(F.col("more") == 1))
+    off = F.abs(F.col("size") - F.abs("left"))
+    best = open_.filter(off < F.abs("left")).groupBy("key").agg(F.min(F.struct(off.alias("off"), "mark", "doc_id", "size")).alias("b"))
+    chosen = best.select(F.col("key").alias("_key"), F.col("b.mark").alias("_mark"), F.col("b.doc_id").alias("_id"), F.lit(1).alias("turn"))
+    same = (F.col("key") == F.col("_key")) & (F.col("mark") == F.col("_mark")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    turned = rounded.join(chosen, same, "left")
+    return turned.withColumn("more", F.when(F.col("turn") == 1, 1 - F.col("more")).otherwise(F.col("more"))).drop("_key", "_mark", "_id", "turn")
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, row: str | None = None) -> DataFrame:
     """doc_id (and the column ``row``), source, size, source_size, target, rate, copies, taken of each row."""
     own = ["doc_id", *([row] if row else [])]
@@ -82,7 +95,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, row: str | None = No
     inside = F.coalesce(F.sum("size").over(Window.partitionBy("key", "bucket").orderBy("mark", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     more = (F.col("start") + inside + F.col("size") / 2 < F.col("rest")).cast("long")
     both = placed.filter(~split).withColumn("more", (end <= F.col("rest")).cast("long")).unionByName(placed.filter(split).withColumn("more", more))
-    both = both.withColumn("copies", F.col("whole") + F.when(F.col("whole") < most, F.col("more")).otherwise(0))
+    both = both.withColumn("more", F.when(F.col("whole") < most, F.col("more")).otherwise(0))
+    both = _closer(stage(both.drop("bucket", "bucket_size", "start"), "rounded"))
+    both = both.withColumn("copies", F.col("whole") + F.col("more"))
     return both.select(*own, "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
