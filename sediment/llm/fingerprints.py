@@ -1,8 +1,9 @@
 """Document fingerprints by I-Match: distinct terms within a band of document frequency, several lexicon subsets.
 
-Terms are lower-cased words. Document frequency is counted over all documents in a table of fixed size (two
-rows of hashed counters; a term's frequency is the smaller one), so the lexicon, the terms in the band, is
-known to every task by data of a fixed size. Each slot of a fingerprint has a random subset of the lexicon; it
+Terms are lower-cased words, known by 64-bit hashes. Document frequency is counted exactly over all documents: tasks
+count their own terms, and the counts are summed by term. Every task gets the lexicon, the terms in the band. A term
+of it is in 0.002 of all documents at least, so it has at most 500 times as many terms as a document has distinct ones
+on average, 8 bytes each, whatever the number of documents. Each slot of a fingerprint has a random subset of it; it
 holds a 16-bit hash of the sorted distinct terms of the text that are in the subset, or 0 if there are none. Subsets
 range from 1/4 to 1/1024 of the lexicon, so that short and long texts have slots with a single term; a last slot
 takes all terms. Likeness is the share of equal slots among those that either text fills, from the smallest subsets
@@ -25,7 +26,6 @@ from pyspark.sql import functions as F
 
 from .common import lean
 
-ROWS, WIDTH = 2, 1 << 16
 #: Shares of all documents between which a term's document frequency lies.
 BAND = (0.002, 0.25)
 RATES = (4, 16, 64, 256, 1024)
@@ -36,6 +36,8 @@ ENOUGH = 12
 #: Sampled ids for each range of ids, and ranges for each task, which even out what tasks get.
 SAMPLE, RANGES = 4, 8
 SLICE_CHARS = 4 << 20
+#: Counted terms that a task holds before it passes them on.
+HELD = 1 << 20
 
 _SALT = np.random.default_rng(5).integers(0, 1 << 63, SLOTS, dtype=np.uint64)
 _LEVEL = np.array([(1 << 64) // RATES[j // PER_RATE] - 1 for j in range(SLOTS)], np.uint64)
@@ -61,42 +63,44 @@ def _terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes, pairs // size, pairs % size
 
 
-def _cells(hashes: np.ndarray) -> list[np.ndarray]:
-    return [((hashes >> np.uint64(16 * r)) & np.uint64(WIDTH - 1)).astype(np.int64) for r in range(ROWS)]
-
-
-def document_frequency(texts: DataFrame) -> tuple[np.ndarray, int]:
-    """Counters (ROWS x WIDTH) of the one column's terms over all rows, and the number of rows."""
+def lexicon(texts: DataFrame, band=BAND) -> np.ndarray:
+    """Sorted hashes of the terms of the one column whose document frequency over all rows lies in the band."""
 
     @lean
     def count(batches):
-        total, n = np.zeros(ROWS * WIDTH, np.int64), 0
+        held, size = [], 0
+
+        def summed():
+            terms, at = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(n)], ["term", "n"])
+
         for b in batches:
-            n += len(b)
             for a in range(0, len(b), 2000):
                 hashes, _, term = _terms(b.column(0).slice(a, 2000))
                 df = np.bincount(term, minlength=len(hashes))
-                for r, cell in enumerate(_cells(hashes)):
-                    total[r * WIDTH : (r + 1) * WIDTH] += np.bincount(cell, df, WIDTH).astype(np.int64)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], n))], ["cell", "n"])
-
-    out, n = np.zeros(ROWS * WIDTH, np.int64), 0
-    for r in texts.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
-        if r.cell < 0:
-            n = r.n
-        else:
-            out[r.cell] = r.n
-    return out.reshape(ROWS, WIDTH), n
-
-
-def fingerprints(texts: pa.Array, counters: np.ndarray, n_docs: int, band=BAND) -> np.ndarray:
+                own = np.flatnonzero(df)
+                held.append((hashes[own], df[own]))
+                size += len(own)
+                if size > HELD:
+                    yield summed()
+                    held, size = [], 0
+        if size:
+            yield summed()
+
+    n_docs = texts.count()
+    counts = texts.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    within = F.col("n").between(F.lit(max(2, band[0] * n_docs)), F.lit(max(2, band[1] * n_docs)))
+    found = counts.filter(within).select("term").toArrow()["term"]
+    return np.sort(found.to_numpy().astype(np.int64).view(np.uint64))
+
+
+def fingerprints(texts: pa.Array, lexicon: np.ndarray) -> np.ndarray:
     """Slots (uint16) of each text; 0 stands for no term."""
     hashes, doc, term = _terms(texts)
-    seen = np.min([counters[r][cell] for r, cell in enumerate(_cells(hashes))], axis=0) if len(hashes) else np.zeros(0)
-    lexicon = (seen >= max(2, band[0] * n_docs)) & (seen <= max(2, band[1] * n_docs))
+    at = np.searchsorted(lexicon, hashes)
+    own = np.flatnonzero(np.append(lexicon, np.uint64(0))[at] == hashes) if len(lexicon) else np.zeros(0, np.int64)
     total, filled = np.zeros(len(texts) * (SLOTS + 1), np.uint64), np.zeros(len(texts) * (SLOTS + 1), bool)
-    own = np.flatnonzero(lexicon)
     word, slot = np.nonzero(_mix(hashes[own][:, None] ^ _SALT[None, :]) <= _LEVEL[None, :])
     members = np.bincount(word, minlength=len(own))  # slots of each lexicon term, in order
     place = np.full(len(hashes), -1)
@@ -164,14 +168,13 @@ def edited(text: str, following: str) -> str:
 
 def fingerprint_documents(docs: DataFrame, band=BAND) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each row."""
-    counters, n_docs = document_frequency(docs.select("text"))
-    model = docs.sparkSession.sparkContext.broadcast(counters)  # ROWS x WIDTH counters, whatever the input
+    model = docs.sparkSession.sparkContext.broadcast(lexicon(docs.select("text"), band))  # bounded, see above
 
     def finish(ids: list, texts: list[str]):
         """All but the last text, which only follows."""
         new = [edited(a, b) for a, b in zip(texts, texts[1:], strict=False)]
-        own = fingerprints(pa.array(texts, pa.string()), model.value, n_docs, band)
-        other = fingerprints(pa.array(new, pa.string()), model.value, n_docs, band)
+        own = fingerprints(pa.array(texts, pa.string()), model.value)
+        other = fingerprints(pa.array(new, pa.string()), model.value)
         hexed = lambda x: [r.astype(">u2").tobytes().hex() for r in x]
         return pa.RecordBatch.from_pydict({
             "doc_id": pa.array(ids[: len(new)], pa.int64()), "n_chars": [len(t) for t in texts[:-1]],

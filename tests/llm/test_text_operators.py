@@ -129,6 +129,27 @@ def test_fingerprints(spark):
     assert fingerprints.fingerprint_documents(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [300, 3000])
+def test_lexicon_is_the_band_exactly(spark, monkeypatch, n):
+    """Many words of one text each: none of them is in the lexicon, and every word of the band is."""
+    r = random.Random(n)
+    texts = [prose(r, 20) + " " + " ".join(f"once{i}x{j}" for j in range(60)) for i in range(n)]
+    texts += [" ".join(f"alone{i}x{j}" for j in range(60)) for i in range(100)] + [None, "", "Case case CASE"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {g.doc_id: g.fingerprint for g in fingerprints.fingerprint_documents(docs).collect()}
+    assert all(set(got[i][:-4]) == {"0"} for i in range(n, n + 100))
+    df = Counter(w for t in texts for w in set((t or "").lower().split()))
+    low, high = (max(2, share * len(texts)) for share in fingerprints.BAND)
+    band = np.array([w for w, k in df.items() if low <= k <= high], object)
+    want = np.sort(fingerprints.pd.util.hash_array(band, categorize=False))
+    assert len(want) > 20
+    for held in (fingerprints.HELD, 50):
+        monkeypatch.setattr(fingerprints, "HELD", held)
+        assert np.array_equal(fingerprints.lexicon(docs.select("text")), want)
+    slots = fingerprints.fingerprints(fingerprints.pa.array(texts, fingerprints.pa.string()), want)
+    assert got == {i: s.astype(">u2").tobytes().hex() for i, s in enumerate(slots)}
+
+
 # Near duplicates
 
 
