@@ -76,6 +76,8 @@ attr AS (SELECT r.entry_idx, path, size, coalesce(packed, 0) AS packed FROM (SEL
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+#: Queries over the bytes of whole documents, which SQL can't follow; tests compare them with brute force.
+WHOLE: dict = {}
 
 
 def _query(sql: str | None = None):
@@ -88,6 +90,11 @@ def _query(sql: str | None = None):
     return add
 
 
+def _whole(f):
+    WHOLE[f.__name__] = f
+    return f
+
+
 # Content ids, deduplication, numbering
 
 
@@ -551,3 +558,24 @@ def hash_twins(spark, sf_dir):
 
     key = F.concat_ws("|", F.col("o_orderkey").cast("string"), "o_orderpriority", F.repeat("o_orderstatus", (F.col("o_orderkey") % 70).cast("int")))
     return _table(spark, sf_dir, "orders").select("o_orderkey", (hs.checksum(F.encode(key, "utf-8")) == plain(key)).alias("same"))
+
+
+# Bytes of whole documents
+
+
+@_whole
+def document_strides(spark, sf_dir):
+    """Scores of every stride over all bytes of each document, and the stride of fixed-width records that they show."""
+
+    @F.pandas_udf("stride int, scores array<long>")
+    def run(content: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"stride": [filters.likely_stride(x) for x in content], "scores": [filters.stride_scores(x) for x in content]})
+
+    return _documents(spark, sf_dir).select("doc_id", "len", run("content").alias("found")).select("doc_id", "len", "found.*")
+
+
+@_whole
+def document_samples(spark, sf_dir):
+    """The sample of all bytes of each document."""
+    sample = filters.sample_column(F.col("content"))
+    return _documents(spark, sf_dir).select("doc_id", F.col("len").alias("total"), sample.alias("sample")).select("doc_id", "total", F.octet_length("sample").cast("long").alias("sampled"), hs.content_id_hex("sample").alias("sample_id"))

@@ -43,6 +43,45 @@ def test_query_equals_its_sql(spark, name):
     assert sorted(got.columns) == sorted(want.columns) and canonical(got) == canonical(want)
 
 
+# Bytes of whole documents
+
+
+@pytest.fixture(scope="module")
+def odd_documents(spark, tmp_path_factory):
+    """A folder with a table of fixed-width records, noise, texts long enough to be sampled, and empty ones."""
+    r = random.Random(9)
+    texts = ["".join(f"key={r.randrange(10**7):07d};" for _ in range(n)) for n in (4, 50, 700, 6000)]  # records of 12 bytes
+    texts += ["".join(r.choice("abcdef ghié😀\n") for _ in range(n)) for n in (1, 31, 600, 8200, 24577, 50000, 220000)] + ["", None]
+    texts += ["".join(chr(r.randrange(128)) for _ in range(60000)), "x" * 100]
+    folder = str(tmp_path_factory.mktemp("odd"))
+    rows = [(i, t, f"src{i % 3}", "en") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(3).write.parquet(f"{folder}/documents.parquet")
+    return folder, {i: (t or "").encode() for i, t in enumerate(texts)}
+
+
+def test_strides_and_samples_cover_whole_documents(spark, odd_documents):
+    import __spark_entry__
+
+    folder, data = odd_documents
+    got = {r.doc_id: r for r in __spark_entry__.queries()["document_strides"](spark, folder).collect()}
+    assert set(got) == set(data)
+    for i, x in data.items():
+        scores = [sum(x[k] == x[k - s] for k in range(s, len(x), 7)) for s in range(1, 33)]
+        assert (got[i].len, got[i].scores) == (len(x), scores)
+        best = max(range(1, 33), key=lambda k: scores[k - 1])
+        assert got[i].stride == (best if len(x) >= 512 and best >= 2 and scores[best - 1] * 8 > (len(x) - 32) // 7 else 0)
+    assert got[0].stride == 0 and all(got[i].stride and got[i].stride % 12 == 0 for i in (1, 2, 3)) and got[9].stride == 0
+    got = {r.doc_id: r for r in __spark_entry__.queries()["document_samples"](spark, folder).collect()}
+    assert set(got) == set(data)
+    for i, x in data.items():
+        size = min(24576, len(x))
+        n = max(1, min(8, len(x) // max(size, 1)))
+        own = b"".join(x[a : a + size] for a in (min(k * (len(x) // n), len(x) - size) for k in range(n)))
+        assert (got[i].total, got[i].sampled, got[i].sample_id) == (len(x), len(own), hashlib.sha256(own).hexdigest()[:32])
+    assert {g.sampled < g.total for g in got.values()} == {False, True}
+
+
+
 # Chunking
 
 
