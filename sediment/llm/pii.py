@@ -5,7 +5,9 @@ ending, a number of 7 to 19 digits, four dotted numbers) are taken from every te
 a class of shape with the words around: the two words before, the word before and the word after, or a label
 that ends in ``:`` or ``=``. Patterns and instances form a bipartite graph; in each round a pattern's
 precision is the mean score of its instances, and an instance's score is the chance that one of its precise
-patterns is right. Candidates in a precise pattern, with a high score, become spans; strict spans always stay.
+patterns is right. A pattern is backed by its instances of a high score, strict or discovered in an earlier round, so
+contexts that only discovered identifiers share are learned too. Scores never fall; rounds end when none becomes high.
+Candidates with a high score become spans wherever they occur; strict spans always stay.
 
 The strict expressions are written with possessive and bounded forms that find the same spans as the plain
 ones (see the tests) in time linear in the text. Everything is DataFrame operations. A null or empty text has
@@ -33,7 +35,7 @@ EXPRESSIONS = {
 #: A text is searched only if this holds.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9]", "phone": r"\+[0-9]", "loose_email": r"@|[\[(]at[\])]", "loose_number": r"[0-9]"}
 IP_PART = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-#: Characters of context, rounds, distinct seeds and precision that a pattern needs, score that a candidate needs.
+#: Characters of context, least rounds, distinct instances and precision that a pattern needs, score that a candidate needs.
 CONTEXT, ROUNDS, SUPPORT, PRECISION, SCORE = 80, 3, 3, 0.8, 0.7
 
 
@@ -86,7 +88,7 @@ def _apart(base: DataFrame, loose: DataFrame) -> DataFrame:
 
 
 def _patterns(spans: DataFrame, shape: Column) -> DataFrame:
-    """A row per span and pattern: rid, start, end, instance, kind, pattern."""
+    """A row per span and pattern: rid, start, end, instance, kind, pattern, which is null for a span that has none."""
     before, after = F.lower("before"), F.lower("after")
     word = r"[^\x20\x09-\x0D]"
     last = F.regexp_extract(before, rf"({word}+)[\x20\x09-\x0D]*$", 1)
@@ -100,29 +102,48 @@ def _patterns(spans: DataFrame, shape: Column) -> DataFrame:
         F.when((last != "") & (following != ""), F.concat_ws("|", shape, F.lit("around"), last, following)),
         F.when(last.rlike("[a-z].*[:=]$"), F.concat_ws("|", shape, F.lit("label"), last)),
     )
-    return spans.select("rid", "start", "end", "kind", instance.alias("instance"), F.explode(F.filter(keys, lambda k: k.isNotNull())).alias("pattern"))
+    return spans.select("rid", "start", "end", "kind", instance.alias("instance"), F.explode_outer(F.filter(keys, lambda k: k.isNotNull())).alias("pattern"))
 
 
 def _shape(kind: Column) -> Column:
     return F.when(kind.isin("email", "loose_email"), "email").when(kind == "ip", "ip").otherwise("number")
 
 
+def _kind(of: str, vote: Column) -> Column:
+    """The kind of a pattern or instance, which begins with its shape; votes tell cards from phones."""
+    shape = F.substring_index(F.col(of), "|", 1)
+    return F.when(shape == "number", F.when(vote > 0, "card").otherwise("phone")).otherwise(shape)
+
+
 def learn(seeds: DataFrame, candidates: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """Patterns (pattern, kind, precision) and instances (instance, score) after the rounds; both written tables."""
-    seed_rows = seeds.groupBy("pattern", "instance", "kind").count()
-    backed = seed_rows.groupBy("pattern").agg(F.countDistinct("instance").alias("n"), F.sum(F.when(F.col("kind") == "card", 1).otherwise(-1)).alias("cards"), F.max("kind").alias("kind"))
-    backed = backed.filter(F.col("n") >= SUPPORT).withColumn("kind", F.when(F.col("kind").isin("card", "phone"), F.when(F.col("cards") > 0, "card").otherwise("phone")).otherwise(F.col("kind")))
-    backed = stage(backed.select("pattern", "kind"), "pii-backed")
-    edges = seeds.select("pattern", "instance", F.lit(1.0).alias("seed")).unionByName(candidates.select("pattern", "instance", F.lit(0.0).alias("seed")))
-    edges = edges.join(backed.select("pattern"), "pattern").groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
-    edges = stage(edges, "pii-edges")
-    scores = stage(edges.groupBy("instance").agg(F.max("seed").alias("score")), "pii-scores")
-    for _ in range(rounds):
-        precise = edges.join(scores, "instance").groupBy("pattern").agg(F.avg("score").alias("precision"), F.sum((F.col("score") >= SCORE).cast("int")).alias("support"))
-        precise = precise.filter((F.col("precision") >= PRECISION) & (F.col("support") >= SUPPORT))
-        missed = F.exp(F.sum(F.log1p(-F.least(F.coalesce(F.col("precision"), F.lit(0.0)), F.lit(0.999)))))
-        scores = stage(edges.join(precise, "pattern", "left").groupBy("instance").agg(F.greatest(F.max("seed"), 1 - missed).alias("score")), "pii-scores")
-    return stage(precise.join(backed, "pattern").select("pattern", "kind", "precision"), "pii-patterns"), scores
+    """Patterns (pattern, kind, precision) and instances (instance, score, kind) after the rounds, of which there are at
+    least ``rounds``; both written tables."""
+    is_card = F.col("kind") == "card"
+    votes = F.max(is_card.cast("int")) - F.max((~is_card).cast("int"))  # of the strict spans, null if there are none
+    own = seeds.groupBy("pattern", "instance").agg(F.lit(1.0).alias("seed"), votes.alias("own"))
+    edges = own.unionByName(candidates.select("pattern", "instance", F.lit(0.0).alias("seed"), F.lit(None).cast("int").alias("own")))
+    edges = stage(edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.max("own").alias("own")), "pii-edges")
+    nodes = stage(edges.groupBy("instance").agg(F.max("seed").alias("seed"), F.sum("own").alias("own")), "pii-nodes")
+    edges = edges.filter(F.col("pattern").isNotNull()).select("pattern", "instance", "own")
+    frequent = edges.groupBy("pattern").count().filter(F.col("count") >= SUPPORT)  # no other can ever be backed
+    edges = stage(edges.join(frequent.select("pattern"), "pattern"), "pii-frequent")
+    scores, high, done = nodes.select("instance", F.col("seed").alias("score"), F.col("own").alias("vote")), None, 0
+    while True:
+        known = F.col("score") >= SCORE
+        precise = edges.join(scores, "instance").groupBy("pattern").agg(
+            F.avg("score").alias("precision"), F.sum(known.cast("int")).alias("support"),
+            F.sum(F.when(known, F.signum(F.coalesce("own", "vote")))).alias("vote"),
+        )
+        precise = precise.filter((F.col("precision") >= PRECISION) & (F.col("support") >= SUPPORT)).select("pattern", "precision", "vote")
+        missed = F.exp(F.sum(F.log1p(-F.least(F.col("precision"), F.lit(0.999)))))
+        found = edges.drop("own").join(precise, "pattern").groupBy("instance").agg((1 - missed).alias("found"), F.max_by(F.when(F.col("vote") > 0, 1).otherwise(-1), F.struct("precision", "vote")).alias("vote"))
+        score = F.greatest(F.col("seed"), F.coalesce("found", F.lit(0.0)))
+        scores = stage(nodes.join(found, "instance", "left").select("instance", score.alias("score"), F.coalesce("own", "vote").cast("long").alias("vote")), "pii-scores")
+        before, high, done = high, scores.filter(known).count(), done + 1
+        if done >= rounds and high == before:
+            break
+    patterns = stage(precise.select("pattern", _kind("pattern", F.col("vote")).alias("kind"), "precision"), "pii-patterns")
+    return patterns, scores.select("instance", "score", _kind("instance", F.col("vote")).alias("kind"))
 
 
 def find_spans(docs: DataFrame, kinds=KINDS) -> tuple[DataFrame, DataFrame]:
@@ -136,8 +157,10 @@ def find_spans(docs: DataFrame, kinds=KINDS) -> tuple[DataFrame, DataFrame]:
     shape = _shape(F.col("kind"))
     candidates = stage(_patterns(_apart(base, loose), shape), "pii-candidates")
     patterns, scores = learn(_patterns(base, shape), candidates)
-    new = candidates.drop("kind").join(patterns, "pattern").join(scores.filter(F.col("score") >= SCORE), "instance")
-    new = new.groupBy("rid", "start", "end").agg(F.max_by("kind", F.struct("precision", "kind")).alias("kind"))
+    known = scores.filter(F.col("score") >= SCORE).select("instance", F.col("kind").alias("known"))
+    new = candidates.drop("kind").join(known, "instance").join(patterns, "pattern", "left")
+    here = F.max_by("kind", F.when(F.col("kind").isNotNull(), F.struct("precision", "kind")))
+    new = new.groupBy("rid", "start", "end").agg(F.coalesce(here, F.max("known")).alias("kind"))
     strict = base.select("rid", "kind", "start", "end", F.lit(True).alias("strict"))
     return rows.select("rid", "doc_id"), strict.unionByName(new.select("rid", "kind", "start", "end", F.lit(False).alias("strict")))
 

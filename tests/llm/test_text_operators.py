@@ -69,6 +69,24 @@ def test_contexts_reveal_unseen_identifiers(spark):
     assert "Other words. My phone: <phone> is new." in texts and "It had 1234567 rows in all." in texts and not any("555-" in t for t in texts)
 
 
+def test_discovered_identifiers_reveal_contexts_and_are_found_everywhere(spark):
+    """Strict numbers back a first context, what it discovers backs a second one, and that a third one."""
+    r = random.Random(6)
+    digits = r.sample(range(2000, 9999), 60)
+    loose = [f"523 555 {d}" for d in digits]
+    rows = [(i, f"Some text {i}. My phone: +1 (312) 555-{1000 + i} is new.") for i in range(200)]
+    hops = {"My phone: {} is new.": (0, 30), "please dial quickly {} after noon": (0, 36), "ring us under {} any day": (30, 37)}
+    rows += [(300 + 100 * h + k, f"Row. {hop.format(loose[k])}") for h, (hop, at) in enumerate(hops.items()) for k in range(*at)]
+    rows += [(900, f"zzz {loose[0]} yyy"), (901, loose[1]), (902, "zzz 7654321 yyy"), (903, "312.555.1003"), (904, "1 312 555 1003")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {g.doc_id: g.spans for g in pii.pii(docs).collect()}
+    for i, text in rows[200:]:
+        said = re.search(r"523 555 \d+", text)
+        want = f"phone:{said.start()}:{said.end()}" if said else "phone:0:14" if i == 904 else ""
+        assert spans[i] == want, (i, text)
+    assert not any("523 555" in g.text for g in pii.redact(docs).collect())
+
+
 # Quality rules
 
 
