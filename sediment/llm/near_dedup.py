@@ -372,9 +372,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = SIMILAR
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """The documents without near copies: of each component the one with the smallest id stays.
 
-    Rows that share an id are one document here, and stay or go together. Documents without an id can't be the one that
-    is named, nor be told apart; one of each text stays.
+    Rows that share an id are one document here, and stay or go together. Rows without an id are documents of their own,
+    told apart by a row number that is written before it is used; one stays only if its component has no id. Of rows
+    without an id and of the same text, with words or without, at most one stays.
     """
-    kept = near_duplicates(docs, width, similarity).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    named = docs.join(kept, docs["doc_id"] == kept["_id"], "left_semi")
-    return named.unionByName(docs.filter(F.col("doc_id").isNull()).dropDuplicates(["text"]))
+    unnamed = docs.filter(F.col("doc_id").isNull()).dropDuplicates(["text"])
+    unnamed = stage(unnamed.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), "unnamed")
+    own = docs.filter(F.col("doc_id").isNotNull())
+    key = lambda is_null, i, row: F.struct(F.lit(is_null).alias("unnamed"), i.cast("long").alias("id"), row.cast("long").alias("row")).alias("doc_id")
+    both = own.select(key(False, F.col("doc_id"), F.lit(0)), "text").union(unnamed.select(key(True, F.lit(0), F.col("row")), F.col("doc.text")))
+    kept = stage(near_duplicates(both, width, similarity).filter("kept").select("doc_id.*").distinct(), "kept")
+    named = own.join(kept.filter("not unnamed").select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(*docs.columns)
+    return named.unionByName(unnamed.join(kept.filter("unnamed").select("row"), "row", "left_semi").select("doc.*"))

@@ -229,6 +229,23 @@ def test_near_duplicates_of_nothing(spark):
     assert near_dedup.near_duplicates(spark.createDataFrame([(1, None)], "doc_id long, text string")).first().component_id == 1
 
 
+def test_keep_one_of_near_copies_without_ids(spark):
+    r = random.Random(12)
+    a, b, c = (" ".join(f"{x}{r.randrange(400)}" for _ in range(120)) for x in "abc")
+    rows = [(5, a), (-(2**63), c), (2**63 - 1, "some words of the last id"), (5, "other text of the same id"), (9, ""), (10, None)]
+    rows += [(None, f"{a} more"), (None, a), (None, f"{c} x y")]  # near and exact copies of what has an id
+    rows += [(None, f"{b} {i}") for i in range(6)] + [(None, b)] * 3  # of each other
+    rows += [(None, "nobody else has this text"), (None, ""), (None, ""), (None, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, _id int").repartition(3)
+    out = near_dedup.keep_one(docs, 2)
+    assert out.columns == docs.columns
+    got = [(g.doc_id, g.text) for g in out.collect()]
+    assert sorted(map(str, (g for g in got if g[0] is not None))) == sorted(map(str, rows[:6]))
+    rest = [t for i, t in got if i is None]
+    assert sum((t or "").startswith(b) for t in rest) == 1
+    assert sorted(str(t) for t in rest if not (t or "").startswith(b)) == ["", "None", "nobody else has this text"]
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=40))
 def test_components(spark, edges):
