@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table, tuned
+from .common import table
 from .fingerprints import fingerprint_documents
 from .mixing import mix
 from .near_dedup import near_duplicates
@@ -38,7 +36,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
+    return mix(table(spark, sf_dir, "documents"), classes="lang").select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,20 +56,9 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "log_weight", "key", "kept")
-
-
-def _tuned(query):
-    @functools.wraps(query)
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        tuned(spark)
-        return query(spark, sf_dir)
-
-    return run
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES = {f.__name__: f for f in (op1_token_files, op2_pii, op3_token_counts, op4_quality_rules, op5_fingerprints, op6_mixing, op7_near_dedup, op8_warc, op9_packing, op10_quality_classifier)}
-#: Those that hold sets or models in the workers; encoding is faster with the session's own, larger batches.
-QUERIES |= {f.__name__: _tuned(f) for f in (op7_near_dedup, op10_quality_classifier)}
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

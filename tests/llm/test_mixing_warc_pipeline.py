@@ -54,10 +54,85 @@ def test_mix(spark, hot):
     assert mixed.columns == docs.columns and mixed.count() == sum(g.copies for g in got)
 
 
-def test_newton_meets_targets(spark):
-    rows = [("s", 1000, t) for t in (1.0, 10.0, 999.0, 1000.0, 2500.0, 3000.0, 0.0)] + [("z", 0, 0.0)]
-    got = mixing.rates(spark.createDataFrame(rows, "source string, source_size long, target double")).collect()
-    assert all(g.rate * g.source_size == pytest.approx(g.target) for g in got)
+def test_equal_rows_without_ids_are_turned_one_by_one(spark):
+    """Half a document is the most that a source may be off, however many of its rows are alike."""
+    rows = [(None, "a", "x y")] * 400 + [(i, "a", " ".join(["w"] * 100)) for i in range(60)] + [(1000 + i, "b", " ".join(["w"] * 100)) for i in range(20)] + [(5, "c", "one two three")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    sizes = {s: sum(len(t.split()) for _, x, t in rows if x == s) for s in "abc"}
+    want, seen = plain_targets(sizes), set()
+    for n in (1, 3, 7):
+        got = mixing.mix(docs.repartition(n)).collect()
+        assert len(got) == len(rows)
+        for s, most in (("a", 50), ("b", 50), ("c", 1.5)):
+            assert abs(sum(g.taken for g in got if g.source == s) - want[s]) <= most + 1e-6, s
+        seen.add(tuple(sorted((g.doc_id or -1, g.size, g.taken) for g in got)))
+    assert len(seen) == 1
+
+
+def plain_balance(cells, targets, goals, ridge, most):
+    """Rates that solve the two families of constraints, by slow steps: sources exactly, classes as far as the ridge lets them."""
+    import math
+
+    tilt, base = dict.fromkeys(goals, 0.0), {}
+    for _ in range(4000):
+        for s, t in targets.items():
+            own, low, high = {c: n for (x, c), n in cells.items() if x == s}, -60.0, 60.0
+            for _ in range(80):
+                mid = (low + high) / 2
+                low, high = (mid, high) if sum(n * min(most, math.exp(mid + tilt[c])) for c, n in own.items()) < t else (low, mid)
+            base[s] = (low + high) / 2
+        miss = {c: sum(n * min(most, math.exp(base[s] + tilt[c])) for (s, x), n in cells.items() if x == c) - goals[c] * (1 - ridge * tilt[c]) for c in goals}
+        if max(map(abs, miss.values())) < 1e-7:
+            break
+        tilt = {c: tilt[c] - 0.5 * miss[c] / goals[c] for c in goals}
+    return {(s, c): min(most, math.exp(base[s] + tilt[c])) for s, c in cells}
+
+
+def test_two_families_of_constraints(spark):
+    """Sources want other shares than they have, and that would shift the classes; both bind, and so does the cut-off."""
+    r = random.Random(4)
+    shares = {"a": (9, 1, 0), "b": (2, 5, 3), "c": (1, 1, 8), "d": (0, 1, 0)}
+    rows = [(i, s, "lmn"[c], " ".join(["w"] * r.randint(1, 30))) for s, n in shares.items() for c in range(3) for i in range(n[c] * (3 if s == "d" else 60))]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, kind string, text string").repartition(3)
+    got = mixing.mix(docs, classes="kind", row="kind").collect()
+    cells = defaultdict(int)
+    for _, s, c, t in rows:
+        cells[s, c] += len(t.split())
+    sizes = {s: sum(n for (x, _), n in cells.items() if x == s) for s in shares}
+    targets = plain_targets(sizes)
+    total = sum(sizes.values())
+    goals = {c: sum(n for (_, x), n in cells.items() if x == c) * sum(targets.values()) / total for c in "lmn"}
+    want = plain_balance(cells, targets, goals, mixing.RIDGE, 3)
+    rate, taken, by_class = {}, defaultdict(int), defaultdict(int)
+    for g in got:
+        rate[g.source, g.kind] = g.rate
+        taken[g.source] += g.taken
+        by_class[g.kind] += g.taken
+    assert rate.keys() == want.keys() and all(rate[k] == pytest.approx(want[k], rel=1e-4) for k in want)
+    assert len({round(x, 6) for (s, _), x in rate.items() if s == "b"}) == 3 and rate["d", "m"] == 3
+    assert all(abs(taken[s] - targets[s]) <= 15 for s in shares)
+    plain = defaultdict(int)
+    for g in mixing.mix(docs, row="kind").collect():
+        plain[g.kind] += g.taken
+    off = lambda found: sum(abs(found[c] - goals[c]) for c in goals)
+    assert off(by_class) < 0.6 * off(plain)
+
+
+CLASHING = ["copies", "spans", "rid", "_row", "_copy", "_id", "_key", "_weight", "bucket", "row", "doc", "key", "log_weight", "text_", "whole", "noise", "node", "kept", "unnamed", "part", "_part", "n", "place", "size", "mark", "new"]
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES[:-1]])
+def test_stages_keep_columns_of_any_name(spark, tmp_path, name):
+    r = random.Random(13)
+    text = lambda: " ".join(r.choice(["the", "river", "runs", "over", "stones"]) + str(r.randrange(60)) for _ in range(60))
+    rows = [(i, text() + (" mail a.b@example.com" if i % 4 == 0 else ""), "en", f"s{i % 3}", i, *(f"{c}{i}" for c in CLASHING)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHING)).repartition(3)
+    spark.createDataFrame([(i, 1) for i in range(20)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = dict(corpus_pipeline.STAGES)[name](spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert got and all(g[c] == f"{c}{g.doc_id}" for g in got for c in CLASHING)
+    assert len(got) == 40 or name == "mix"
 
 
 PAGES = [(3, "http://a/x y\n", "<p>é</p>"), (1, "http://b", "<p>é</p>"), (2, None, "other"), (9, "u", None), (8, "u", ""), (4, "http://a", "other"), (4, "http://a", "other"), (2, "again", "other"), (2, "again", "more"), (None, "v", "other"), (None, "v", "alone"), (77, "w", "x" * 300_000)]
