@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, stage
+from .common import dealt_join, hot_keys, let, scratch, stage
 
 KINDS = ("email", "ip", "card", "phone")
 #: In order: the kinds, then the classes of candidates.
@@ -37,6 +37,8 @@ NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9]", "phone
 IP_PART = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 #: Characters of context, least rounds, distinct instances and precision that a pattern needs, score that a candidate needs.
 CONTEXT, ROUNDS, SUPPORT, PRECISION, SCORE = 80, 3, 3, 0.8, 0.7
+#: Code points of the blocks that a text is cut into to be put together anew.
+STEP = 4096
 
 
 def _luhn(text: Column) -> Column:
@@ -81,8 +83,9 @@ def _apart(base: DataFrame, loose: DataFrame) -> DataFrame:
     """The loose spans that overlap no base span."""
     both = base.withColumn("base", F.lit(True)).unionByName(loose.withColumn("base", F.lit(False)))
     w = Window.partitionBy("rid").orderBy("start", F.col("base").desc(), "end")
+    back = Window.partitionBy("rid").orderBy(F.col("start").desc(), "base", F.col("end").desc())  # so that both ways keep a running value
     ends = F.max(F.when(F.col("base"), F.col("end"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    starts = F.first(F.when(F.col("base"), F.col("start")), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    starts = F.min(F.when(F.col("base"), F.col("start"))).over(back.rowsBetween(Window.unboundedPreceding, -1))
     marked = both.withColumn("clear", ~F.coalesce(ends > F.col("start"), F.lit(False)) & ~F.coalesce(starts < F.col("end"), F.lit(False)))
     return marked.filter(~F.col("base") & F.col("clear")).drop("base", "clear")
 
@@ -118,6 +121,11 @@ def _kind(of: str, vote: Column) -> Column:
 def learn(seeds: DataFrame, candidates: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """Patterns (pattern, kind, precision) and instances (instance, score, kind) after the rounds, of which there are at
     least ``rounds``; both written tables."""
+    with scratch():
+        return _learn(seeds, candidates, rounds)
+
+
+def _learn(seeds: DataFrame, candidates: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
     is_card = F.col("kind") == "card"
     votes = F.max(is_card.cast("int")) - F.max((~is_card).cast("int"))  # of the strict spans, null if there are none
     own = seeds.groupBy("pattern", "instance").agg(F.lit(1.0).alias("seed"), votes.alias("own"))
@@ -125,8 +133,9 @@ def learn(seeds: DataFrame, candidates: DataFrame, rounds: int = ROUNDS) -> tupl
     edges = stage(edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.max("own").alias("own")), "pii-edges")
     nodes = stage(edges.groupBy("instance").agg(F.max("seed").alias("seed"), F.sum("own").alias("own")), "pii-nodes")
     edges = edges.filter(F.col("pattern").isNotNull()).select("pattern", "instance", "own")
-    frequent = edges.groupBy("pattern").count().filter(F.col("count") >= SUPPORT)  # no other can ever be backed
-    edges = stage(edges.join(frequent.select("pattern"), "pattern"), "pii-frequent")
+    frequent = stage(edges.groupBy("pattern").agg(F.count("*").alias("n")).filter(F.col("n") >= SUPPORT), "pii-contexts")  # no other can ever be backed
+    hot = hot_keys(frequent, frequent.agg(F.sum("n")).first()[0] or 0)
+    edges = stage(dealt_join(edges, frequent.select("pattern"), ["pattern"], hot), "pii-frequent")
     scores, high, done = nodes.select("instance", F.col("seed").alias("score"), F.col("own").alias("vote")), None, 0
     while True:
         known = F.col("score") >= SCORE
@@ -136,31 +145,39 @@ def learn(seeds: DataFrame, candidates: DataFrame, rounds: int = ROUNDS) -> tupl
         )
         precise = precise.filter((F.col("precision") >= PRECISION) & (F.col("support") >= SUPPORT)).select("pattern", "precision", "vote")
         missed = F.exp(F.sum(F.log1p(-F.least(F.col("precision"), F.lit(0.999)))))
-        found = edges.drop("own").join(precise, "pattern").groupBy("instance").agg((1 - missed).alias("found"), F.max_by(F.when(F.col("vote") > 0, 1).otherwise(-1), F.struct("precision", "vote")).alias("vote"))
+        found = dealt_join(edges.drop("own"), precise, ["pattern"], hot).groupBy("instance").agg((1 - missed).alias("found"), F.max_by(F.when(F.col("vote") > 0, 1).otherwise(-1), F.struct("precision", "vote")).alias("vote"))
         score = F.greatest(F.col("seed"), F.coalesce("found", F.lit(0.0)))
         scores = stage(nodes.join(found, "instance", "left").select("instance", score.alias("score"), F.coalesce("own", "vote").cast("long").alias("vote")), "pii-scores")
         before, high, done = high, scores.filter(known).count(), done + 1
         if done >= rounds and high == before:
             break
-    patterns = stage(precise.select("pattern", _kind("pattern", F.col("vote")).alias("kind"), "precision"), "pii-patterns")
+    patterns = stage(precise.select("pattern", _kind("pattern", F.col("vote")).alias("kind"), "precision"), "pii-patterns", keep=True)
+    scores = stage(scores, "pii-scores", keep=True)
     return patterns, scores.select("instance", "score", _kind("instance", F.col("vote")).alias("kind"))
 
 
 def find_spans(docs: DataFrame, kinds=KINDS) -> tuple[DataFrame, DataFrame]:
     """Rows (rid, doc_id) of the documents, and their spans (rid, kind, start, end, strict)."""
+    with scratch():
+        return _find_spans(docs, kinds)
+
+
+def _find_spans(docs: DataFrame, kinds) -> tuple[DataFrame, DataFrame]:
     text = F.coalesce(F.col("text"), F.lit(""))
     found = F.concat(*(_matches(k, text) for k in (*kinds, "loose_email", "loose_number")))
-    rows = stage(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", found.alias("found")), "pii-matches")
-    spans = stage(_spans(rows.select("rid", F.inline("found"))), "pii-spans")
+    rows = stage(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", found.alias("found")), "pii-matches", keep=True)
+    spans = stage(_spans(rows.select("rid", F.inline("found"))), "pii-spans", keep=True)
     base = spans.filter(F.col("kind").isin(*kinds) & _valid(F.col("kind"), F.col("match")))
     loose = spans.filter(F.col("kind").isin("loose_email", "loose_number")).unionByName(spans.filter((F.col("kind") == "ip") & ~_valid(F.col("kind"), F.col("match"))))
     shape = _shape(F.col("kind"))
     candidates = stage(_patterns(_apart(base, loose), shape), "pii-candidates")
     patterns, scores = learn(_patterns(base, shape), candidates)
     known = scores.filter(F.col("score") >= SCORE).select("instance", F.col("kind").alias("known"))
-    new = candidates.drop("kind").join(known, "instance").join(patterns, "pattern", "left")
+    total = candidates.count()
+    often, common = (hot_keys(candidates.filter(F.col(k).isNotNull()).groupBy(k).agg(F.count("*").alias("n")), total) for k in ("instance", "pattern"))
+    new = dealt_join(dealt_join(candidates.drop("kind"), known, ["instance"], often), patterns, ["pattern"], common, "left")
     here = F.max_by("kind", F.when(F.col("kind").isNotNull(), F.struct("precision", "kind")))
-    new = new.groupBy("rid", "start", "end").agg(F.coalesce(here, F.max("known")).alias("kind"))
+    new = stage(new.groupBy("rid", "start", "end").agg(F.coalesce(here, F.max("known")).alias("kind")), "pii-new", keep=True)
     strict = base.select("rid", "kind", "start", "end", F.lit(True).alias("strict"))
     return rows.select("rid", "doc_id"), strict.unionByName(new.select("rid", "kind", "start", "end", F.lit(False).alias("strict")))
 
@@ -182,19 +199,37 @@ def pii(docs: DataFrame) -> DataFrame:
     return all_rows.select("doc_id", *(F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS), F.sha2(F.coalesce("base", F.lit("")).cast("binary"), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
 
 
+def _between(blocks: Column, start: Column, end: Column) -> Column:
+    """Code points from start to end of a text cut into blocks of STEP."""
+    i, j = F.floor(start / STEP).cast("int"), F.floor(end / STEP).cast("int")
+    block = lambda k: F.coalesce(F.get(blocks, k), F.lit(""))
+    first = F.substring(block(i), (start % STEP + 1).cast("int"), F.lit(STEP))
+    apart = F.concat(first, F.array_join(F.slice(blocks, i + 2, F.greatest(F.lit(0), j - i - 1)), ""), F.substring(block(j), F.lit(1), (end % STEP).cast("int")))
+    return F.when(i == j, F.substring(block(i), (start % STEP + 1).cast("int"), (end - start).cast("int"))).otherwise(apart)
+
+
 def redact(docs: DataFrame) -> DataFrame:
-    """The documents with every span replaced by ``<kind>``; overlapping spans are replaced as one."""
-    keyed = stage(docs.withColumn("rid", F.monotonically_increasing_id()), "pii-docs")
-    ids, spans = find_spans(keyed.select(F.col("rid").alias("doc_id"), "text"))
+    """The documents with every span replaced by ``<kind>``; overlapping spans are replaced as one.
+
+    All columns stay as they are, whatever their names, but for ``text`` and, if there is one, ``n_chars`` of texts that change.
+    """
+    keyed = stage(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct("*").alias("doc")), "pii-docs", keep=True)
+    ids, spans = find_spans(keyed.select(F.col("rid").alias("doc_id"), F.col("doc.text").alias("text")))
     spans = spans.join(ids, "rid").select(F.col("doc_id").alias("rid"), "kind", "start", "end")
     w = Window.partitionBy("rid").orderBy("start", F.col("end").desc(), "kind")
     spans = spans.withColumn("reach", F.coalesce(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     spans = spans.filter(F.col("end") > F.col("reach")).withColumn("start", F.greatest("start", "reach")).groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("spans"))
+    whole = F.col("doc.text")
+
+    def replaced(blocks: Column) -> Column:
+        def pieces(span: Column, i: Column) -> Column:
+            at = F.coalesce(F.get("spans", i - 1)["end"], F.lit(0))
+            return F.concat(_between(blocks, at, span["start"]), F.lit("<"), span["kind"], F.lit(">"))
 
-    def pieces(s: Column, i: Column) -> Column:
-        at = F.coalesce(F.get("spans", i - 1)["end"], F.lit(0))
-        return F.concat(F.substring("text", (at + 1).cast("int"), (s["start"] - at).cast("int")), F.lit("<"), s["kind"], F.lit(">"))
+        return F.concat(F.array_join(F.transform("spans", pieces), ""), _between(blocks, F.element_at("spans", -1)["end"], F.length(whole)))
 
-    tail = F.substring("text", (F.element_at("spans", -1)["end"] + 1).cast("int"), F.lit(2**31 - 1))
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.concat(F.array_join(F.transform("spans", pieces), ""), tail))
-    return keyed.join(spans, "rid", "left").withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    # in blocks, as a substring of a long text is found by walking there
+    new = F.when(F.col("spans").isNull(), whole).otherwise(let(F.regexp_extract_all(whole, F.lit(f"(?s).{{1,{STEP}}}+"), F.lit(0)), replaced))
+    kept = lambda name: F.col(f"doc.`{name}`")
+    changed = {"text": F.col("new"), "n_chars": F.when(F.col("spans").isNull(), kept("n_chars")).otherwise(F.length("new").cast("long"))} if "n_chars" in docs.columns else {"text": F.col("new")}
+    return keyed.join(spans, "rid", "left").withColumn("new", new).select(*(changed.get(c, kept(c)).alias(c) for c in docs.columns))
