@@ -2,26 +2,31 @@
 
 A document is its set of distinct word shingles, held as 64-bit hashes. Documents with equal sets are one node.
 A node's sketch is the K smallest hashes of its set. Inverted lists (hash -> nodes whose sketch retains it) give
-candidates. Two nodes of similarity 0.8 share half of their sketches or more but for a chance below one in 100,000
-(sketches that hold whole sets share four fifths for certain), so they share several of the rarest values of both;
-only the rarest are listed, and common shingles drop out whatever their number.
+candidates. The K smallest hashes of a pair's union are a sample of the union; those of them that both sets hold are in
+both sketches. So two nodes of the wanted similarity share ``shared_at_least`` values of their sketches but for a chance
+of ``CHANCE`` (sketches that hold whole sets share their part for certain). Then they share several of the rarest values of
+both; only the rarest are listed, and common shingles drop out whatever their number.
 
 Nodes of short lists meet in pairs, counted over the lists. Long lists with the same smallest node, the pivot, form
 one group. The group's nodes first meet the pivot, and what is linked becomes one component. Then the sketches of
-nodes of different components are compared, in blocks of fixed size that any number of tasks may share, and only
-pairs that share enough leave the task; where these are many, the blocks' full sets are compared in the task instead,
-and only links that connect components leave it. All other candidates pass the estimate from the union's sketch and then the exact
-similarity of the full sets, which are computed again from the texts of the nodes concerned (found by a Bloom
-filter of fixed size, so that texts aren't shuffled).
+nodes of different components are compared, in blocks of about BLOCK nodes of like set size that any number of tasks may
+share. Large components have blocks of their own; no two blocks of one component are compared, nor blocks whose set sizes
+are too far apart. Only pairs that share enough leave the task; where these are many, the blocks' full sets are compared
+in the task instead, and only links that connect components leave it. All other candidates pass the estimate from the
+union's sketch and then the exact similarity of the full sets, which are computed again from the texts of the nodes
+concerned. These are found by a Bloom filter sized by their number, so that texts aren't shuffled, or beyond its largest
+size by a join. Hot keys of all joins (pivots, hubs, common values, repeated texts) are dealt over tasks.
 
 A text without words is linked with nothing. A null text is one without words. A null id is never the smallest
 unless a component has no other; rows with equal ids are told apart by their texts alone. An empty table gives an
-empty result; other columns are ignored. No list, bucket or component has a cap.
+empty result; other columns are ignored. No list, bucket or component has a cap. Similarities lie above 0 and up to 1.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -30,17 +35,36 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, stage
+from .common import dealt_join, hot_keys, lean, scratch, stage, tuned
 from .components import components
 from .fingerprints import _mix
 
 #: Retained hashes, similarity, nodes of a short list, nodes of a block.
 K, SIMILARITY, SHORT, BLOCK = 48, 0.8, 4, 512
+#: Chance to miss a pair of exactly the wanted similarity.
+CHANCE = 1e-6
 #: Pairs for each member beyond which a pair of blocks is compared by full sets where it is.
 DENSE = 2
 SLICE_ROWS = 500
-#: Bits of the Bloom filter (as words of 64), and bits that an id sets.
-BLOOM_WORDS, BLOOM_BITS = 1 << 20, 4
+#: Bits of a Bloom filter for each id, bits that an id sets, and words of 64 bits beyond which a join stands in (32 MB).
+BLOOM_ROOM, BLOOM_BITS, BLOOM_WORDS = 16, 4, 1 << 22
+
+
+def exactly(similarity: float) -> Fraction:
+    """The similarity as the fraction that is meant."""
+    if not 0 < similarity <= 1:
+        raise ValueError("a similarity lies above 0 and up to 1")
+    return Fraction(similarity).limit_denominator(10**6)
+
+
+def shared_at_least(similarity: float) -> int:
+    """Of K values drawn from a pair's union, how many both sets hold at least, but for a chance of CHANCE."""
+    t, chance = float(similarity), 0.0
+    for c in range(K + 1):
+        chance += math.comb(K, c) * t**c * (1 - t) ** (K - c)
+        if chance > CHANCE:
+            return c
+    return K
 
 
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
@@ -71,11 +95,11 @@ def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     return out
 
 
-def _key(s: np.ndarray) -> str:
+def _key(s: np.ndarray) -> bytes:
     """128-bit hash of a set."""
     import hashlib
 
-    return hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest()
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
 def _sketched(docs: DataFrame, width: int) -> DataFrame:
@@ -90,63 +114,90 @@ def _sketched(docs: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(a, SLICE_ROWS), pa.array([_key(s) for s in sets]), pa.array([len(s) for s in sets], pa.int64()), lists], ["doc_id", "set_key", "n_shingles", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, set_key string, n_shingles long, sketch array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, set_key binary, n_shingles long, sketch array<long>")
 
 
-def _bloom_cells(key) -> list:
-    return [F.pmod(F.xxhash64(key, F.lit(k)), F.lit(BLOOM_WORDS * 64)) for k in range(BLOOM_BITS)]
+def _bloom_cells(key, words: int) -> list:
+    return [F.pmod(F.xxhash64(key, F.lit(k)), F.lit(words * 64)) for k in range(BLOOM_BITS)]
 
 
-def _bloom(ids: DataFrame) -> np.ndarray:
-    """The filter of the one column: BLOOM_WORDS words, whatever the input."""
-    cells = ids.select(F.explode(F.array(*_bloom_cells(F.col(ids.columns[0])))).alias("cell"))
-    words = cells.groupBy(F.shiftright("cell", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("cell").cast("int").bitwiseAND(F.lit(63)))).alias("bits"))
-    out = np.zeros(BLOOM_WORDS, np.uint64)
-    found = words.toPandas()
-    out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+def _bloom(ids: DataFrame, words: int) -> np.ndarray:
+    """The filter of the one column."""
+    cells = ids.select(F.explode(F.array(*_bloom_cells(F.col(ids.columns[0]), words))).alias("cell"))
+    filled = cells.groupBy(F.shiftright("cell", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("cell").cast("int").bitwiseAND(F.lit(63)))).alias("bits"))
+    out, found = np.zeros(words, np.uint64), filled.toArrow()
+    out[found["word"].to_numpy().astype(np.int64)] = found["bits"].to_numpy().astype(np.int64).view(np.uint64)
     return out
 
 
 class _Sets:
-    """Full sets of the nodes (node, set_key, id), as a table bucketed by set_key: joins with it move the other side only."""
+    """Full sets of the nodes (node, set_key, id), as a table bucketed by set_key: joins with it move the other side only.
+
+    The table lasts as long as the ``with`` block does.
+    """
 
     def __init__(self, docs: DataFrame, chosen: DataFrame, width: int):
-        spark = docs.sparkSession
-        self.chosen = chosen.select("node", "set_key")
-        bits = spark.sparkContext.broadcast(_bloom(chosen.select("id")))
+        self.spark, self.chosen, self.name = docs.sparkSession, chosen.select("node", "set_key"), f"sets_{uuid.uuid4().hex}"
+        self.docs, self.ids, self.width = docs, chosen.select("id"), width
+
+    def __enter__(self) -> _Sets:
+        own = self._found().groupBy("set_key").agg(F.first("set").alias("set")).join(self.chosen.select("set_key"), "set_key", "left_semi")
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        try:
+            own.write.bucketBy(n, "set_key").sortBy("set_key").saveAsTable(self.name)
+        except BaseException:
+            self.__exit__()
+            raise
+        self.table = self.spark.table(self.name)
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+    def _found(self) -> DataFrame:
+        """(set_key, set) of the texts whose id is chosen, and of some others."""
+        words, width = 1 << max(10, (self.ids.count() * BLOOM_ROOM // 64).bit_length()), self.width
+        bits = self.spark.sparkContext.broadcast(_bloom(self.ids, words)) if words <= BLOOM_WORDS else None
 
         @lean
         def run(batches):
             for b in batches:
-                cells = np.stack([b.column(i + 1).to_numpy() for i in range(BLOOM_BITS)]).astype(np.uint64)
-                hit = (bits.value[(cells >> np.uint64(6)).astype(np.int64)] >> (cells & np.uint64(63)) & np.uint64(1)).all(0)
-                texts = b.column(0).filter(pa.array(hit))
+                texts = b.column(0)
+                if bits:
+                    cells = np.stack([b.column(i + 1).to_numpy() for i in range(BLOOM_BITS)]).astype(np.uint64)
+                    hit = (bits.value[(cells >> np.uint64(6)).astype(np.int64)] >> (cells & np.uint64(63)) & np.uint64(1)).all(0)
+                    texts = texts.filter(pa.array(hit))
                 for a in range(0, len(texts), SLICE_ROWS):
                     sets = shingle_sets(texts.slice(a, SLICE_ROWS), width)
-                    yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in sets]), pa.array([s.tobytes() for s in sets], pa.binary())], ["set_key", "set"])
-
-        found = docs.select("text", *_bloom_cells(F.col("doc_id"))).toDF("text", *(f"c{i}" for i in range(BLOOM_BITS))).mapInArrow(run, "set_key string, set binary")
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        own = found.repartition(n, "set_key").join(self.chosen.select("set_key"), "set_key", "left_semi").groupBy("set_key").agg(F.first("set").alias("set"))
-        self.name = f"sets_{uuid.uuid4().hex}"
-        own.write.bucketBy(n, "set_key").sortBy("set_key").saveAsTable(self.name)
-        self.table = spark.table(self.name)
+                    yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["set_key", "set"])
 
-    def drop(self) -> None:
-        self.table.sparkSession.sql(f"DROP TABLE {self.name}")
+        if bits:
+            texts = self.docs.select("text", *_bloom_cells(F.col("doc_id"), words)).toDF("text", *(f"c{i}" for i in range(BLOOM_BITS)))
+        else:
+            texts = self.docs.join(self.ids.distinct(), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text")
+        return texts.mapInArrow(run, "set_key binary, set binary")
 
-    def keyed(self, rows: DataFrame, node: str, key: str) -> DataFrame:
-        return rows.join(self.chosen.select(F.col("node").alias(node), F.col("set_key").alias(key)), node)
+    def joined(self, rows: DataFrame, node: str, hot: DataFrame | None) -> DataFrame:
+        """The rows, which have ``key_`` of the node, with ``set_`` of it."""
+        key = f"key_{node}"
+        sets = self.table.select(F.col("set_key").alias(key), F.col("set").alias(f"set_{node}"))
+        if hot is None:
+            return rows.join(sets, key)
+        few = hot.join(self.chosen.select(F.col("node").alias(node), F.col("set_key").alias(key)), node).select(key, "parts")
+        named = F.broadcast(few.select(key))  # bounded, see hot_keys
+        cold = rows.join(named, key, "left_anti").join(sets, key)  # by the buckets
+        return cold.unionByName(dealt_join(rows.join(named, key, "left_semi"), sets.join(named, key, "left_semi"), [key], few))
 
-    def joined(self, rows: DataFrame, key: str, name: str) -> DataFrame:
-        """The rows with the set of their key."""
-        return rows.join(self.table.select(F.col("set_key").alias(key), F.col("set").alias(name)), key)
+    def keyed(self, rows: DataFrame, node: str, hot: DataFrame | None) -> DataFrame:
+        return dealt_join(rows, self.chosen.select(F.col("node").alias(node), F.col("set_key").alias(f"key_{node}")), [node], hot)
 
 
 def _least_shared(size, similarity: float):
     """Sketch values that a set of a size shares with that of any partner, at least."""
-    whole = size <= int(K * similarity)  # then every partner's sketch is its whole set too
-    return F.when(whole, F.ceil(size * similarity - 1e-9)).otherwise(F.ceil(F.least(size, F.lit(K)) / 2)).cast("int")
+    t = exactly(similarity)
+    part = F.ceil((size * t.numerator) / t.denominator - 1e-9)
+    whole = size <= K * t.numerator // t.denominator  # then every partner's sketch is its whole set too
+    return F.when(whole, part).otherwise(F.least(part, F.lit(shared_at_least(similarity)))).cast("int")
 
 
 def _lists(nodes: DataFrame, similarity: float) -> DataFrame:
@@ -154,13 +205,16 @@ def _lists(nodes: DataFrame, similarity: float) -> DataFrame:
 
     A node's sketch of s values shares c or more with any partner's, so partners share ``need`` <= c of the
     s - c + need rarest values of both: of the values shared, ``need`` come before the last c - need of a sketch.
+    Sets so small that no other set is similar have no rows.
     """
-    rows = nodes.filter("n_shingles >= 4").select("node", "n_shingles", F.explode("sketch").alias("value"))
-    often = rows.groupBy("value").agg(F.count("*").alias("n")).filter("n > 1")
-    found = rows.join(often, "value").groupBy("node", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("n", "value"))).alias("values"))
+    t = exactly(similarity)
+    rows = nodes.filter(F.col("n_shingles") * (t.denominator - t.numerator) >= t.numerator).select("node", "n_shingles", F.explode("sketch").alias("value"))
+    often = stage(rows.groupBy("value").agg(F.count("*").alias("n")).filter("n > 1"), "values")
+    hot = hot_keys(often, often.agg(F.sum("n")).first()[0] or 0)
+    found = dealt_join(rows, often, ["value"], hot).groupBy("node", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("n", "value"))).alias("values"))
     s = F.least(F.col("n_shingles"), F.lit(K)).cast("int")
     least = _least_shared(F.col("n_shingles"), similarity)
-    need = F.greatest(F.lit(2), F.least(F.lit(4), F.floor(s / 10) + 1)).cast("int")
+    need = F.least(least, F.greatest(F.lit(2), F.least(F.lit(4), F.floor(s / 10) + 1))).cast("int")
     lonely = s - F.size("values")
     kept = F.slice("values", 1, F.greatest(F.lit(0), s - least + need - lonely))
     kept = found.select("node", need.alias("need"), kept.alias("values")).filter(F.size("values") >= F.col("need"))
@@ -169,27 +223,30 @@ def _lists(nodes: DataFrame, similarity: float) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: _Sets, similarity: float) -> DataFrame:
     """The pairs (a, b) that are similar: by the estimate from their union's sketch, then exactly."""
+    t, tail = exactly(similarity), shared_at_least(similarity)
 
     @lean
     def run(batches):
         for b in batches:
             rows = []
             for x, y, raw_x, raw_y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
-                s, t = np.frombuffer(raw_x.as_buffer(), np.int64), np.frombuffer(raw_y.as_buffer(), np.int64)
-                if min(len(s), len(t)) < similarity * max(len(s), len(t)) - 1e-9:
+                s, r = np.frombuffer(raw_x.as_buffer(), np.int64), np.frombuffer(raw_y.as_buffer(), np.int64)
+                if min(len(s), len(r)) * t.denominator < t.numerator * max(len(s), len(r)):
                     continue
-                union = np.union1d(s[:K], t[:K])[:K]
-                both = np.isin(union, s[:K], True) & np.isin(union, t[:K], True)
-                if both.sum() < len(union) / 2 - 1:
+                union = np.union1d(s[:K], r[:K])[:K]
+                both = int((np.isin(union, s[:K], True) & np.isin(union, r[:K], True)).sum())
+                if both < (tail if len(union) == K else len(union) * t):
                     continue
-                shared = len(np.intersect1d(s, t, True))
-                if 100 * shared >= round(100 * similarity) * (len(s) + len(t) - shared):
+                shared = len(np.intersect1d(s, r, True))
+                if t.denominator * shared >= t.numerator * (len(s) + len(r) - shared):
                     rows.append((x, y))
             cols = list(zip(*rows, strict=True)) or [[], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
 
-    keyed = sets.keyed(sets.keyed(pairs, "a", "key_a"), "b", "key_b")
-    both = sets.joined(sets.joined(keyed, "key_a", "set_a"), "key_b", "set_b")
+    total = pairs.count()
+    hot = {c: hot_keys(pairs.groupBy(c).agg(F.count("*").alias("n")), total) for c in "ab"}
+    keyed = sets.keyed(sets.keyed(pairs, "a", hot["a"]), "b", hot["b"])
+    both = sets.joined(sets.joined(keyed, "a", hot["a"]), "b", hot["b"])
     return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
@@ -257,97 +314,117 @@ def _spanning(pairs) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def _sides(rows: list, own: int):
-    left = [r for r in rows if r[own] == r[1]]
-    return left, left if rows[0][1] == rows[0][2] else [r for r in rows if r[own] == r[2]]
+def _blocked(members: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Members (pivot, node, component, size) of groups of several components with their ``block``, and the pairs (i, j) of
+    blocks to compare.
 
-
-def _block_pairs(members: DataFrame) -> DataFrame:
-    """Members of groups of several components, once for each pair of blocks (i, j) that their block takes part in."""
-    sizes = members.groupBy("pivot").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = members.join(sizes.select("pivot", blocks.alias("blocks")), "pivot").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.select("pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component")
-
-
-def _together(rows: DataFrame) -> DataFrame:
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "pivot", "i", "j").sortWithinPartitions("pivot", "i", "j")
-
-
-def _candidates(dealt: DataFrame, about: DataFrame, similarity: float) -> DataFrame:
-    """(pivot, i, j, a, b) of different components whose sketches share enough; a null pair stands for a dense one of blocks."""
+    A block's nodes have a size class, and one component if that is large. Sizes of similar sets differ by one class at most.
+    """
+    groups = members.groupBy("pivot").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    total = members.count()
+    own = dealt_join(members, groups.select("pivot"), ["pivot"], hot_keys(groups.select("pivot", "n"), total))
+    own = stage(own.withColumn("cls", F.floor(F.log("size") / math.log(1 / similarity) + 1e-9).cast("int") if similarity < 1 else F.col("size").cast("int")), "grouped")
+    large = own.groupBy("pivot", "cls", "component").agg(F.count("*").alias("n")).filter(F.col("n") >= BLOCK)
+    pool_of = dealt_join(own, large.select("pivot", "cls", "component", F.col("component").alias("pool")), ["pivot", "cls", "component"], hot_keys(large, total), "left")
+    pooled = stage(pool_of.withColumn("pool", F.coalesce("pool", F.lit(-1))), "pooled")
+    pools = pooled.groupBy("pivot", "cls", "pool").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    number = F.xxhash64("pivot", "cls", "pool", "sub").alias("block")  # blocks of equal number would be compared as one
+    hot = hot_keys(pools.select("pivot", "cls", "pool", "n"), total)
+    placed = dealt_join(pooled, pools.drop("n"), ["pivot", "cls", "pool"], hot).withColumn("sub", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("node", "component", number)
+    blocks = stage(pools.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("pivot", "cls", "pool", number), "blocks")
+    other = blocks.select("pivot", "cls", F.col("pool").alias("pool_j"), F.col("block").alias("j"))
+    near = blocks.select("pivot", F.explode(F.array("cls", F.col("cls") + 1)).alias("cls"), F.col("cls").alias("own"), "pool", F.col("block").alias("i"))
+    pairs = near.join(other, ["pivot", "cls"]).filter("(own < cls or i <= j) and (pool <> pool_j or pool < 0)")
+    return placed, pairs.select("i", "j").distinct()
+
+
+def _met(placed: DataFrame, pairs: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows (i, j, block, node, component, ...) of the members of both blocks of each pair, those of a pair one after the other."""
+    sides = pairs.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    n = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return placed.join(sides, "block").select("i", "j", "block", "node", "component", *columns).repartition(n, "i", "j").sortWithinPartitions("i", "j")
+
+
+def _sides(rows: list):
+    i, j = rows[0][:2]
+    left = [r for r in rows if r[2] == i]
+    return left, left if i == j else [r for r in rows if r[2] == j]
+
+
+def _candidates(placed: DataFrame, pairs: DataFrame, about: DataFrame, similarity: float) -> DataFrame:
+    """(i, j, a, b) of different components whose sketches share enough; a null pair stands for a dense one of blocks."""
+    t = exactly(similarity)
 
     @lean
     def run(batches):
-        for rows in _runs(batches, 3, 8):
-            left, right = _sides(rows, 3)
+        for rows in _runs(batches, 2, 7):
+            left, right = _sides(rows)
             if not left or not right:
                 continue
-            counts = _shared_counts(*([r[8] for r in side] for side in ((left, right) if left is not right else (left,) * 2)))
-            node, comp, size, least = (([np.array([r[k] for r in side]) for side in (left, right)]) for k in (4, 5, 6, 7))
+            counts = _shared_counts(*([r[7] for r in side] for side in ((left, right) if left is not right else (left,) * 2)))
+            node, comp, size, least = (([np.array([r[k] for r in side]) for side in (left, right)]) for k in (3, 4, 5, 6))
             ok = counts >= np.maximum(least[0][:, None], least[1][None, :])
             ok &= comp[0][:, None] != comp[1][None, :]
-            ok &= np.minimum(size[0][:, None], size[1][None, :]) >= similarity * np.maximum(size[0][:, None], size[1][None, :]) - 1e-9
+            ok &= np.minimum(size[0][:, None], size[1][None, :]) * t.denominator >= t.numerator * np.maximum(size[0][:, None], size[1][None, :])
             if left is right:
                 ok &= node[0][:, None] < node[1][None, :]
             x, y = np.nonzero(ok)
             a, b = node[0][x], node[1][y]
-            pairs = [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))]
+            found = [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))]
             if len(x) > DENSE * len(rows):
-                pairs = [pa.array([None], pa.int64())] * 2
-            n = len(pairs[0])
-            yield pa.RecordBatch.from_arrays([*(pa.array([rows[0][k]] * n, t) for k, t in ((0, pa.int64()), (1, pa.int32()), (2, pa.int32()))), *pairs], ["pivot", "i", "j", "a", "b"])
+                found = [pa.array([None], pa.int64())] * 2
+            n = len(found[0])
+            yield pa.RecordBatch.from_arrays([*(pa.array([rows[0][k]] * n, pa.int64()) for k in (0, 1)), *found], ["i", "j", "a", "b"])
 
-    rows = _together(dealt.join(about, "node").select("pivot", "i", "j", "own", "node", "component", "size", "least", "sketch"))
-    return rows.mapInArrow(run, "pivot long, i int, j int, a long, b long")
+    return _met(placed.join(about, "node"), pairs, ["size", "least", "sketch"]).mapInArrow(run, "i long, j long, a long, b long")
 
 
-def _dense_links(dealt: DataFrame, dense: DataFrame, sets: _Sets, similarity: float) -> DataFrame:
+def _dense_links(placed: DataFrame, dense: DataFrame, sets: _Sets, similarity: float) -> DataFrame:
     """(a, b) that are similar and connect components, of the dense pairs of blocks, by full sets."""
+    t = exactly(similarity)
 
     @lean
     def run(batches):
-        for rows in _runs(batches, 3, 6):
-            left, right = _sides(rows, 3)
-            first, second = [r[6] for r in left], [r[6] for r in right]
-            counts = _shared_counts(first, first if left is right else second)
+        for rows in _runs(batches, 2, 5):
+            left, right = _sides(rows)
+            first, second = [r[5] for r in left], [r[5] for r in right]
+            counts = _shared_counts(first, first if left is right else second).astype(np.int64)
             size = np.array([len(x) for x in first])[:, None] + np.array([len(x) for x in second])[None, :]
-            x, y = np.nonzero(100 * counts.astype(np.int64) >= round(100 * similarity) * (size - counts.astype(np.int64)))
-            found = _spanning((left[m][5], right[n][5], left[m][4], right[n][4]) for m, n in zip(x.tolist(), y.tolist(), strict=True) if left[m][4] != right[n][4])
+            x, y = np.nonzero(t.denominator * counts >= t.numerator * (size - counts))
+            found = _spanning((left[m][4], right[n][4], left[m][3], right[n][3]) for m, n in zip(x.tolist(), y.tolist(), strict=True) if left[m][4] != right[n][4])
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (2, 3)], ["a", "b"])
 
-    rows = sets.joined(sets.keyed(dealt.join(dense, ["pivot", "i", "j"], "left_semi"), "node", "set_key"), "set_key", "set")
-    return _together(rows.select("pivot", "i", "j", "own", "node", "component", "set")).mapInArrow(run, "a long, b long")
+    blocks = dense.select(F.explode(F.array("i", "j")).alias("block")).distinct()
+    of = placed.join(blocks, "block", "left_semi").withColumnRenamed("node", "a")
+    full = sets.joined(sets.keyed(of, "a", None), "a", None).withColumnRenamed("a", "node")
+    return _met(full, dense, ["set_a"]).mapInArrow(run, "a long, b long")
 
 
 def links(nodes: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Edges (u, v) enough to connect all nodes that chains of similar pairs connect."""
-    near = 1 - similarity
-    listed = stage(_lists(nodes, similarity), "lists")
-    sizes = listed.groupBy("value").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).filter("n > 1")
-    listed = stage(listed.join(sizes, "value"), "sized-lists")
-    short = stage(_short_pairs(listed.filter(F.col("n") <= SHORT)), "short-pairs")
-    groups = stage(listed.filter(F.col("n") > SHORT).groupBy("pivot", "node").agg(F.count("*").alias("shared")), "groups")
-    star = groups.filter((F.col("shared") > 2) & (F.col("pivot") != F.col("node"))).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    tested = star.union(short)
-    sets = _Sets(docs, _chosen(nodes, tested.select(F.col("a").alias("node")).union(tested.select("b"))), width)
-    first = stage(_verified(tested, sets, similarity).select(F.col("a").alias("u"), F.col("b").alias("v")), "first-edges")
-    sets.drop()
-    parts = stage(components(first, rounds=2).groupBy("node").agg(F.min("component").alias("component")), "components")
-    about = nodes.select("node", F.col("n_shingles").alias("size"), _least_shared(F.col("n_shingles"), similarity).alias("least"), "sketch")
-    members = groups.select("pivot", "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    dealt = stage(_block_pairs(stage(members, "members")), "blocks")
-    found = stage(_candidates(dealt, about, similarity), "candidates")
-    sparse = stage(found.filter("a is not null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "sparse")
-    dense = found.filter("a is null").select("pivot", "i", "j")
-    in_dense = dealt.join(dense, ["pivot", "i", "j"], "left_semi").select("node")
-    sets = _Sets(docs, _chosen(nodes, sparse.select(F.col("a").alias("node")).union(sparse.select("b")).union(in_dense)), width)
-    more = _verified(sparse, sets, similarity).union(_dense_links(dealt, dense, sets, similarity))
-    more = stage(more.select(F.col("a").alias("u"), F.col("b").alias("v")), "more-edges")
-    sets.drop()
-    return first.union(more)
+    """Edges (u, v) enough to connect all nodes that chains of similar pairs connect; a written table."""
+    with scratch(), tuned(docs.sparkSession):
+        listed = stage(_lists(nodes, similarity), "lists")
+        sizes = stage(listed.groupBy("value").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).filter("n > 1"), "list-sizes")
+        hot = hot_keys(sizes.select("value", "n"), listed.count())
+        listed = stage(dealt_join(listed, sizes, ["value"], hot), "sized-lists")
+        short = stage(_short_pairs(listed.filter(F.col("n") <= SHORT)), "short-pairs")
+        groups = stage(listed.filter(F.col("n") > SHORT).groupBy("pivot", "node").agg(F.count("*").alias("shared")), "groups")
+        star = groups.filter((F.col("shared") >= min(3, shared_at_least(similarity))) & (F.col("pivot") != F.col("node"))).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+        tested = stage(star.union(short), "tested")
+        with _Sets(docs, _chosen(nodes, tested.select(F.col("a").alias("node")).union(tested.select("b"))), width) as sets:
+            first = stage(_verified(tested, sets, similarity).select(F.col("a").alias("u"), F.col("b").alias("v")), "first-edges")
+        parts = components(first, rounds=2).groupBy("node").agg(F.min("component").alias("component"))
+        about = nodes.select("node", _least_shared(F.col("n_shingles"), similarity).alias("least"), "sketch", F.col("n_shingles").alias("size"))
+        members = groups.select("pivot", "node").join(parts, "node", "left").join(nodes.select("node", F.col("n_shingles").alias("size")), "node")
+        placed, pairs = _blocked(stage(members.withColumn("component", F.coalesce("component", "node")), "members"), similarity)
+        placed, pairs = stage(placed, "placed"), stage(pairs, "block-pairs")
+        found = stage(_candidates(placed, pairs, about, similarity), "candidates")
+        sparse = stage(found.filter("a is not null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "sparse")
+        dense = found.filter("a is null").select("i", "j")
+        in_dense = placed.join(dense.select(F.explode(F.array("i", "j")).alias("block")).distinct(), "block", "left_semi").select("node")
+        with _Sets(docs, _chosen(nodes, sparse.select(F.col("a").alias("node")).union(sparse.select("b")).union(in_dense)), width) as sets:
+            more = _verified(sparse, sets, similarity).union(_dense_links(placed, dense, sets, similarity))
+            return stage(first.union(more.select(F.col("a").alias("u"), F.col("b").alias("v"))), "all-edges", keep=True)
 
 
 def _chosen(nodes: DataFrame, named: DataFrame) -> DataFrame:
@@ -356,17 +433,21 @@ def _chosen(nodes: DataFrame, named: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept of each row."""
-    rows = stage(_sketched(docs, width), "sketches")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n_shingles", "sketch")).alias("x")
-    sets = rows.filter("n_shingles > 0").groupBy("set_key").agg(first)
-    nodes = stage(sets.select("set_key", F.monotonically_increasing_id().alias("node"), F.col("x.doc_id").alias("sample"), "x.n_shingles", "x.sketch"), "nodes")
-    found = components(links(nodes, docs, width, similarity))
-    grouped = nodes.select("node", "set_key", "sample").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = grouped.groupBy("component").agg(F.min("sample").alias("component_id"))
-    by_set = grouped.join(smallest, "component").select("set_key", "component_id")
-    joined = rows.filter("n_shingles > 0").select("doc_id", "n_shingles", "set_key").join(by_set, "set_key").select("doc_id", "n_shingles", "component_id")
-    alone = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return joined.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    with scratch(), tuned(docs.sparkSession):
+        rows = stage(_sketched(docs, width), "sketches")
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n_shingles", "sketch")).alias("x")
+        sets = rows.filter("n_shingles > 0").groupBy("set_key").agg(first, F.count("*").alias("n"))
+        nodes = stage(sets.select("set_key", F.monotonically_increasing_id().alias("node"), F.col("x.doc_id").alias("sample"), "x.n_shingles", "x.sketch", "n"), "nodes")
+        found = components(links(nodes, docs, width, similarity))
+        grouped = stage(nodes.select("node", "set_key", "sample", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "grouped")
+        own = grouped.groupBy("component").agg(F.min(F.struct(F.col("sample").isNull().alias("none"), "sample"))["sample"].alias("component_id"), F.count("*").alias("n"))
+        hot = hot_keys(own.select("component", "n"), grouped.count())
+        by_set = stage(dealt_join(grouped.select("component", "set_key"), own.drop("n"), ["component"], hot).select("set_key", "component_id"), "by-set")
+        total = grouped.agg(F.sum("n")).first()[0] or 0
+        plain = rows.select("doc_id", "n_shingles", "set_key")
+        joined = dealt_join(plain.filter("n_shingles > 0"), by_set, ["set_key"], hot_keys(grouped.select("set_key", "n"), total)).select("doc_id", "n_shingles", "component_id")
+        alone = plain.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+        return stage(joined.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))), "near-duplicates", keep=True)
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = SIMILARITY) -> DataFrame:
@@ -377,10 +458,11 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = SIMILARITY) ->
     without an id and of the same text, with words or without, at most one stays.
     """
     unnamed = docs.filter(F.col("doc_id").isNull()).dropDuplicates(["text"])
-    unnamed = stage(unnamed.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), "unnamed")
+    unnamed = stage(unnamed.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), "unnamed", keep=True)
     own = docs.filter(F.col("doc_id").isNotNull())
     key = lambda is_null, i, row: F.struct(F.lit(is_null).alias("unnamed"), i.cast("long").alias("id"), row.cast("long").alias("row")).alias("doc_id")
     both = own.select(key(False, F.col("doc_id"), F.lit(0)), "text").union(unnamed.select(key(True, F.lit(0), F.col("row")), F.col("doc.text")))
-    kept = stage(near_duplicates(both, width, similarity).filter("kept").select("doc_id.*").distinct(), "kept")
+    with scratch():
+        kept = stage(near_duplicates(both, width, similarity).filter("kept").select("doc_id.*").distinct(), "kept", keep=True)
     named = own.join(kept.filter("not unnamed").select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(*docs.columns)
     return named.unionByName(unnamed.join(kept.filter("unnamed").select("row"), "row", "left_semi").select("doc.*"))
