@@ -1,16 +1,21 @@
 """Quality classifier by importance resampling: two hashed n-gram models and Gumbel top-k.
 
 The target model is counted on labelled good documents, the raw model on every document. A bucket's log ratio
-compares the target's count with the count that the raw model expects. A document's mean log ratio, over its
-hashed byte n-grams, is calibrated to log odds on the labelled documents. Labelled documents are at most
-``LABELLED_ROWS``, chosen by hash; all else covers every document. Log odds plus Gumbel noise drawn from a hash
-of the row are keys, and the k largest keys are kept, where k is the number of documents whose log odds are at least
-``LEAST_ODDS``. So k follows the data, and noise only decides among documents of about equal weight.
+compares the target's count with the count that the raw model expects. The sum over a document's hashed byte n-grams is
+its log importance weight, and ``resample`` keeps the k documents of the largest weights plus Gumbel noise: plain
+importance resampling for a k that is given.
+
+``classify`` decides which documents are good, for which the sum won't do: it grows with a text's length, so that top-k
+by it ranks long texts first. There the weight is the mean log ratio, calibrated to log odds on the labelled
+documents, and k is the number of documents whose log odds are at least ``LEAST_ODDS``. So k follows the data, and noise
+only decides among documents of about equal weight. Labelled documents are at most ``LABELLED_ROWS``, chosen by hash, one
+for each labelled id; all else covers every document.
 
 Counts of hashed n-grams are vectors of fixed size, summed per task and then across tasks. The k-th key is
-found by counting keys in ever finer bins, without sorting; documents that tie with it are all kept. Null and
-empty texts have no n-grams and a mean of 0; repeated rows are scored alike; without good and bad labels all
-documents are kept; an empty table gives an empty result; other columns are passed by.
+found by counting keys in ever finer bins, without sorting; documents that tie with it are all kept. Noise is drawn
+from a hash of id and text, so repeated rows are scored alike and stay or go together. Null and
+empty texts have no n-grams and a mean of 0; without good and bad labels all
+documents are kept; an empty table gives an empty result; other columns are passed by, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,11 +26,11 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lean, stage
+from .common import lean, scratch, stage, tuned, unused
 
 #: Bytes of an n-gram, and log2 of the number of hash buckets.
 N, BITS = 4, 16
@@ -117,21 +122,30 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float,
     return float(w[0]), float(w[1])
 
 
-def _means(texts: pa.Array, ratio: np.ndarray) -> np.ndarray:
-    """Mean log ratio of each text's n-grams, drawn towards 0 where they are few."""
-    found, fixed = [np.zeros(0)], np.round(ratio * SCALE).astype(np.int64)
+def _sums(texts: pa.Array, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of the log ratios of each text's n-grams, and their number."""
+    sums, sizes, fixed = [np.zeros(0)], [np.zeros(0, np.int64)], np.round(ratio * SCALE).astype(np.int64)
     for h, begin, end in _parts(texts):
         run = np.concatenate([[0], np.cumsum(fixed[h])])  # whole numbers, so that sums don't depend on what lies before
         begin, end = np.minimum(begin, len(h)), np.minimum(end, len(h))
-        found.append((run[end] - run[begin]) / SCALE / (end - begin + FEW))
-    return np.concatenate(found)
+        sums.append((run[end] - run[begin]) / SCALE)
+        sizes.append(end - begin)
+    return np.concatenate(sums), np.concatenate(sizes)
+
+
+def _means(texts: pa.Array, ratio: np.ndarray) -> np.ndarray:
+    """Mean log ratio of each text's n-grams, drawn towards 0 where they are few."""
+    sums, sizes = _sums(texts, ratio)
+    return sums / (sizes + FEW)
 
 
 def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS) -> Model:
     """The model; without both good and bad labels every document is as likely good."""
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled_rows)  # bounded, so it may be broadcast
-    labelled = stage(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "quality"), "labelled")
+    own = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality")
+    one = F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")  # of rows that share a labelled id
+    labelled = stage(own.agg(one).select("text", "quality"), "labelled")
     raw, target = _counts(docs.select("text")), _counts(labelled.filter("quality = 1").select("text"))
     expected = raw * (target.sum() / max(1.0, raw.sum()))
     ratio = np.log((target + PRIOR) / (expected + PRIOR))
@@ -147,33 +161,41 @@ def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS
     return Model(ratio, *_logistic(got.x.to_numpy(), (got.quality == 1).to_numpy(float)))
 
 
-def log_weights(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
-    """The named columns with ``_weight``, the log odds, and ``_key``, the log odds with Gumbel noise."""
+def _uniform() -> Column:
+    return (F.pmod(F.xxhash64(F.lit(17), "doc_id", "text"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+
+
+def log_weights(docs: DataFrame, model: Model, columns: list[str]) -> tuple[DataFrame, list[str]]:
+    """The named columns with three more, whose names are given too: the log odds, the log odds with Gumbel noise, and the log
+    importance weight."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 1 << BITS numbers, whatever the input
-    uniform = (F.pmod(F.xxhash64(F.lit(17), "doc_id", "text"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    noisy = docs.select(*columns, F.coalesce(F.col("text"), F.lit("")).alias("_text"), (-F.log(-F.log(uniform))).alias("_noise"))
+    names = [unused(columns, x) for x in ("log_weight", "key", "log_importance")]
+    noisy = docs.select(*(F.col(f"`{c}`") for c in columns), F.coalesce(F.col("text"), F.lit("")).alias(unused(columns, "whole")), (-F.log(-F.log(_uniform()))).alias(unused(columns, "noise")))
+    n = len(columns)
 
     @lean
     def score(batches):
         m = shared.value
         for b in batches:
-            weight = np.round(m.intercept + m.slope * _means(b.column(len(columns)), m.ratio), 9)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(weight), pa.array(weight + b.column(len(columns) + 1).to_numpy())], [*columns, "_weight", "_key"])
+            sums, sizes = _sums(b.column(n), m.ratio)
+            weight = np.round(m.intercept + m.slope * (sums / (sizes + FEW)), 9)
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(weight), pa.array(weight + b.column(n + 1).to_numpy()), pa.array(sums)], [*columns, *names])
 
-    schema = T.StructType([*docs.select(*columns).schema.fields, T.StructField("_weight", T.DoubleType()), T.StructField("_key", T.DoubleType())])
-    return noisy.mapInArrow(score, schema)
+    own = docs.select(*(F.col(f"`{c}`") for c in columns)).schema.fields
+    return noisy.mapInArrow(score, T.StructType([*own, *(T.StructField(x, T.DoubleType()) for x in names)])), names
 
 
-def kth_largest(keys: DataFrame, k: int) -> float:
-    """The k-th largest of the column ``_key``: counts in bins, then in the bins of the bin that holds it."""
-    low, high = keys.agg(F.min("_key"), F.max("_key")).first()
+def kth_largest(keys: DataFrame, k: int, key: str = "key") -> float:
+    """The k-th largest of a column: counts in bins, then in the bins of the bin that holds it."""
+    x = F.col(key)
+    low, high = keys.agg(F.min(x), F.max(x)).first()
     above = 0
     while low < high:
         width = (high - low) / BINS
         if low + width <= low:
             break
-        inside = keys.filter(F.col("_key").between(low, high))
-        bins = inside.groupBy(F.least(F.floor((F.col("_key") - low) / width), F.lit(BINS - 1)).alias("bin")).agg(F.count("*").alias("n"), F.min("_key").alias("low"), F.max("_key").alias("high")).collect()
+        inside = keys.filter(x.between(low, high))
+        bins = inside.groupBy(F.least(F.floor((x - low) / width), F.lit(BINS - 1)).alias("bin")).agg(F.count("*").alias("n"), F.min(x).alias("low"), F.max(x).alias("high")).collect()
         for b in sorted(bins, key=lambda b: -b.bin):
             if above + b.n >= k:
                 low, high = b.low, b.high
@@ -182,21 +204,34 @@ def kth_largest(keys: DataFrame, k: int) -> float:
     return high
 
 
-def _least_key(keys: DataFrame) -> float:
+def _least_key(keys: DataFrame, weight: str, key: str) -> float:
     """The key of the last document that is kept."""
-    k = keys.filter(F.col("_weight") >= LEAST_ODDS).count()
-    return kth_largest(keys, k) if k else math.inf
+    k = keys.filter(F.col(weight) >= LEAST_ODDS).count()
+    return kth_largest(keys, k, key) if k else math.inf
 
 
 def classify(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS) -> DataFrame:
-    """doc_id, log_weight, key and ``kept`` of each row."""
-    keys = stage(log_weights(docs, train(docs, labels, labelled_rows), ["doc_id"]), "quality-keys")
-    least = _least_key(keys)
-    return keys.select("doc_id", F.col("_weight").alias("log_weight"), F.col("_key").alias("key"), (F.col("_key") >= least).alias("kept"))
+    """doc_id, log_weight (log odds), key, log_importance and ``kept`` of each row."""
+    with scratch(), tuned(docs.sparkSession):
+        found, (weight, key, _) = log_weights(docs, train(docs, labels, labelled_rows), ["doc_id"])
+        keys = stage(found, "quality-keys", keep=True)
+        return keys.withColumn("kept", F.col(key) >= _least_key(keys, weight, key))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS) -> DataFrame:
     """The documents that the classifier keeps, with their columns; scored twice rather than shuffled."""
-    model = train(docs, labels, labelled_rows)
-    least = _least_key(stage(log_weights(docs, model, ["doc_id"]), "quality-keys"))
-    return log_weights(docs, model, docs.columns).filter(F.col("_key") >= least).select(*docs.columns)
+    with scratch(), tuned(docs.sparkSession):
+        model = train(docs, labels, labelled_rows)
+        found, (weight, key, _) = log_weights(docs, model, ["doc_id"])
+        least = _least_key(stage(found, "quality-keys"), weight, key)
+    scored, (_, key, _) = log_weights(docs, model, docs.columns)
+    return scored.filter(F.col(key) >= least).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def resample(docs: DataFrame, labels: DataFrame, k: int, labelled_rows: int = LABELLED_ROWS) -> DataFrame:
+    """doc_id, log_importance, key of the k documents, and those that tie with the last, of plain importance resampling."""
+    with scratch(), tuned(docs.sparkSession):
+        found, (weight, key, importance) = log_weights(docs, train(docs, labels, labelled_rows), ["doc_id"])
+        noisy = found.select("doc_id", importance, (F.col(importance) + F.col(key) - F.col(weight)).alias("key"))
+        keys = stage(noisy, "resampled", keep=True)
+        return keys.filter(F.col("key") >= (kth_largest(keys, k) if k else math.inf))

@@ -282,6 +282,6 @@ def test_classifier_tells_held_out_documents(spark):
 def test_kth_largest(spark):
     r = random.Random(8)
     values = [r.choice([r.random() * 1e6, 5.0, -1e-9 * r.random()]) for _ in range(500)]
-    keys = spark.createDataFrame([(v,) for v in values], "_key double")
+    keys = spark.createDataFrame([(v,) for v in values], "key double")
     for k in (1, 2, 50, 170, 333, 500):
         assert quality_classifier.kth_largest(keys, k) == sorted(values, reverse=True)[k - 1]
