@@ -102,9 +102,8 @@ def hot_keys(counts: DataFrame, total: int) -> DataFrame | None:
     most = max(HOT_ROWS, total // (HOT_KEYS * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     if total <= most:
         return None
-    hot = counts.filter(F.col("n") > most).withColumn("parts", F.ceil(F.col("n") / most).cast("int"))
-    found = hot.collect()
-    return spark.createDataFrame(found, hot.schema) if found else None
+    hot = stage(counts.filter(F.col("n") > most).withColumn("parts", F.ceil(F.col("n") / most).cast("int")).coalesce(1), "hot-keys")
+    return None if hot.isEmpty() else hot
 
 
 def dealt_join(rows: DataFrame, one: DataFrame, keys: list[str], hot: DataFrame | None, how: str = "inner") -> DataFrame:

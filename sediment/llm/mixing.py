@@ -227,8 +227,12 @@ def _mix(docs: DataFrame, weights, most: int, classes: str | None, row: str | No
     named = cells.withColumn("source", F.when(F.col("key") != "", F.substring("key", 2, 2**31 - 1)))
     sources = stage(source_targets(named, weights, most), "targets")
     rates = stage(cell_rates(sources, classes is not None, most), "rates")
-    before = Window.partitionBy("key", "cls").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    plan = buckets.withColumn("start", F.coalesce(F.sum("bucket_size").over(before), F.lit(0))).join(rates, ["key", "cls"])
+    up_to = lambda of, by: F.coalesce(F.sum(of).over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cell, dealt = ["key", "cls"], buckets.withColumn("group", F.floor(F.col("bucket") / math.isqrt(BUCKETS)))
+    groups = dealt.groupBy(*cell, "group").agg(F.sum("bucket_size").alias("group_size"))  # so that no task orders all buckets of a cell
+    groups = groups.select(*cell, "group", up_to("group_size", [*cell, "group"]).alias("first")).join(rates, cell)
+    inside = dealt.select(*cell, "group", "bucket", "bucket_size", up_to("bucket_size", [*cell, "group", "bucket"]).alias("inside"))
+    plan = inside.join(groups, [*cell, "group"]).withColumn("start", F.col("first") + F.col("inside")).drop("group", "first", "inside")
     rounded = stage(_rounded(pieces, plan, most).drop("piece"), "taken", keep=True)
     found = sized.join(rounded, alike)
     nth = F.row_number().over(Window.partitionBy(*alike).orderBy("place"))
