@@ -4,17 +4,19 @@ Terms are lower-cased words, known by 64-bit hashes. Document frequency is count
 count their own terms, and the counts are summed by term. Every task gets the lexicon, the terms in the band. A term
 of it is in 0.002 of all documents at least, so it has at most 500 times as many terms as a document has distinct ones
 on average, 8 bytes each, whatever the number of documents. Each slot of a fingerprint has a random subset of it; it
-holds a 16-bit hash of the sorted distinct terms of the text that are in the subset, or 0 if there are none. Subsets
+holds a 16-bit hash of the text's distinct terms in the subset, sorted by their hashes, or 0 if there are none. Subsets
 range from 1/4 to 1/1024 of the lexicon, so that short and long texts have slots with a single term; a last slot
-takes all terms. Likeness is the share of equal slots among those that either text fills, from the smallest subsets
+takes all terms, in the band or not, and is never 0. Likeness is the share of equal slots among those that either text fills, from the smallest subsets
 up to the first level at which ``ENOUGH`` slots are filled: there slots hold few terms, and a change spoils few.
 
 Null texts are empty; empty texts have equal fingerprints. Null ids come first; rows with equal ids follow each
-other by text. With one row the next document is the row itself; an empty table gives an empty result.
+other by a hash of their text, equal rows by the partition that they come from, so that no number of them fills a range
+of rows that one task takes. With one row the next document is the row itself; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 
 import numpy as np
@@ -51,16 +53,20 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the distinct terms, and for each (text, term) that occurs both numbers, by text."""
+    """Sorted hashes of the distinct terms, and for each (text, term) that occurs both numbers, by text and term."""
     cut = pc.ascii_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
     n = np.diff(cut.offsets.to_numpy())
     coded = cut.flatten().dictionary_encode()
     words = coded.dictionary.to_numpy(zero_copy_only=False).astype(object)
-    hashes = pd.util.hash_array(words, categorize=False) if len(words) else np.zeros(0, np.uint64)
-    size = max(1, len(words))
-    pairs = np.unique(np.repeat(np.arange(len(n)), n) * size + coded.indices.to_numpy()) if len(coded) else np.zeros(0, np.int64)
-    pairs = pairs[np.array(words != "", bool)[pairs % size]] if len(words) else pairs
-    return hashes, pairs // size, pairs % size
+    if not len(words):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    hashes, real = pd.util.hash_array(words, categorize=False), np.array(words != "", bool)
+    order = np.argsort(hashes, kind="stable")
+    rank = np.empty(len(words), np.int64)
+    rank[order] = np.arange(len(words))
+    codes = coded.indices.to_numpy()
+    pairs = np.unique((np.repeat(np.arange(len(n)), n) * len(words) + rank[codes])[real[codes]])
+    return hashes[order], pairs // len(words), pairs % len(words)
 
 
 def lexicon(texts: DataFrame, band=BAND) -> np.ndarray:
@@ -95,12 +101,22 @@ def lexicon(texts: DataFrame, band=BAND) -> np.ndarray:
     return np.sort(found.to_numpy().astype(np.int64).view(np.uint64))
 
 
+def _listed(lists: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
+    """A hash for each of n lists of hashes: every hash is mixed with its place in the list."""
+    order = np.argsort(lists, kind="stable")
+    of = lists[order]
+    first = np.flatnonzero(np.diff(of, prepend=-1))
+    place = np.arange(len(of)) - np.repeat(first, np.diff(first, append=len(of)))
+    total = np.zeros(n, np.uint64)
+    total[of[first]] = np.add.reduceat(_mix(hashes[order] ^ _mix(place.astype(np.uint64) + np.uint64(1))), first) if len(of) else np.zeros(0, np.uint64)
+    return _mix(total + np.uint64(1))
+
+
 def fingerprints(texts: pa.Array, lexicon: np.ndarray) -> np.ndarray:
     """Slots (uint16) of each text; 0 stands for no term."""
     hashes, doc, term = _terms(texts)
     at = np.searchsorted(lexicon, hashes)
     own = np.flatnonzero(np.append(lexicon, np.uint64(0))[at] == hashes) if len(lexicon) else np.zeros(0, np.int64)
-    total, filled = np.zeros(len(texts) * (SLOTS + 1), np.uint64), np.zeros(len(texts) * (SLOTS + 1), bool)
     word, slot = np.nonzero(_mix(hashes[own][:, None] ^ _SALT[None, :]) <= _LEVEL[None, :])
     members = np.bincount(word, minlength=len(own))  # slots of each lexicon term, in order
     place = np.full(len(hashes), -1)
@@ -110,13 +126,12 @@ def fingerprints(texts: pa.Array, lexicon: np.ndarray) -> np.ndarray:
     count = members[p]
     first = np.cumsum(members) - members
     flat = np.repeat(first[p] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-    at = np.repeat(d, count) * (SLOTS + 1) + slot[flat]
-    np.add.at(total, at, _mix(hashes[own][word[flat]]))
-    filled[at] = True
-    at = doc * (SLOTS + 1) + SLOTS
-    np.add.at(total, at, _mix(hashes[term]))
+    n = len(texts) * (SLOTS + 1)
+    lists = np.concatenate([np.repeat(d, count) * (SLOTS + 1) + slot[flat], doc * (SLOTS + 1) + SLOTS])
+    filled = np.zeros(n, bool)
+    filled[lists] = True
     filled[np.arange(len(texts)) * (SLOTS + 1) + SLOTS] = True
-    short = np.maximum(_mix(total + np.uint64(1)) >> np.uint64(48), 1).astype(np.uint16)
+    short = np.maximum(_listed(lists, np.concatenate([hashes[own][word[flat]], hashes[term]]), n) >> np.uint64(48), 1).astype(np.uint16)
     return np.where(filled, short, 0).astype(np.uint16).reshape(len(texts), SLOTS + 1)
 
 
@@ -130,34 +145,35 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return same[rows, at] / filled[rows, at]
 
 
-def _ranges(keys: DataFrame, n: int) -> list[int]:
-    """Bounds that cut the keys into about n even ranges, from a sample by hash of SAMPLE keys a range."""
+def _ranges(keys: DataFrame, n: int) -> list[tuple]:
+    """Bounds that cut the keys into about n even ranges of rows, from a sample by hash of SAMPLE rows a range."""
     rows = keys.count()
     every = max(1, rows // (SAMPLE * n))
-    sample = sorted(r[0] for r in keys.filter(F.pmod(F.xxhash64("key"), F.lit(every)) == 0).select("key").distinct().collect())
+    sample = sorted(tuple(r) for r in keys.filter(F.pmod(F.xxhash64(*keys.columns, F.monotonically_increasing_id()), F.lit(every)) == 0).collect())
     return sorted(set(sample[SAMPLE - 1 :: SAMPLE]))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """Rows (part, role, key, doc_id, text) dealt by ranges of ids: role 0 are a range's documents, in order, and
-    the first row of role 1 is the document that follows the range. One shuffle of the texts."""
+    the row of role 1 is the document that follows the range. One shuffle of the texts."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("key"), "doc_id", "text")
-    bounds = _ranges(keyed.select("key"), RANGES * n)
-    shared = spark.sparkContext.broadcast(np.array(bounds, np.int64))  # a bound for each range
+    text = F.coalesce(F.col("text"), F.lit(""))
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("key"), F.xxhash64(text).alias("hash"), F.spark_partition_id().alias("of"), "doc_id", text.alias("text"))
+    shared = spark.sparkContext.broadcast(_ranges(keyed.select("key", "hash", "of"), RANGES * n))  # a bound for each range
 
     @F.pandas_udf("int")
-    def part(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(shared.value, key.to_numpy()).astype(np.int32))
-
-    keyed = keyed.withColumn("part", part("key"))
-    heads = sorted((r.part, r.key) for r in keyed.groupBy("part").agg(F.min("key").alias("key")).collect())
-    follow = [(part, heads[(i + 1) % len(heads)][1]) for i, (part, _) in enumerate(heads)]
-    after = spark.createDataFrame(follow, "part int, key long")
-    heads_rows = keyed.drop("part").join(F.broadcast(after), "key")  # a row for each range
-    both = keyed.select("part", F.lit(0).alias("role"), "key", "doc_id", "text").unionByName(heads_rows.select("part", F.lit(1).alias("role"), "key", "doc_id", "text"))
-    return both.repartition(n, "part").sortWithinPartitions("part", "role", "key", "text")
+    def part(key: pd.Series, hash_: pd.Series, of: pd.Series) -> pd.Series:
+        return pd.Series([bisect.bisect_left(shared.value, x) for x in zip(key.tolist(), hash_.tolist(), of.tolist(), strict=True)], dtype=np.int32)
+
+    keyed = keyed.withColumn("part", part("key", "hash", "of")).drop("of")
+    heads = sorted((r.part, *r.head) for r in keyed.groupBy("part").agg(F.min(F.struct("key", "hash")).alias("head")).collect())
+    follow = [(part, *heads[(i + 1) % len(heads)][1:]) for i, (part, *_) in enumerate(heads)]
+    after = F.broadcast(spark.createDataFrame(follow, "part int, key long, hash long"))  # a row for each range
+    next_ = keyed.drop("part").join(after, ["key", "hash"]).groupBy("part", "key", "hash").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    names = ["key", "hash", "doc_id", "text"]
+    both = keyed.select("part", F.lit(0).alias("role"), *names).unionByName(next_.select("part", F.lit(1).alias("role"), *names))
+    return both.repartition(n, "part").sortWithinPartitions("part", "role", "key", "hash", "text")
 
 
 def edited(text: str, following: str) -> str:

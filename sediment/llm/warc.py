@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, fresh, stage
+from .common import filesystem, fresh, hot_keys, scratch, stage
 
 FILE_BYTES = 64 << 20
 DATE = "2024-01-01T00:00:00Z"
@@ -79,50 +79,67 @@ def _id(capture: int | str, part: str) -> str:
 
 
 def first_captures(pages: DataFrame) -> DataFrame:
-    """For each payload (hash, size): the smallest page_id, and how many rows have both."""
-    each = pages.groupBy("hash", "size", "page_id").agg(F.count("*").alias("n"))
-    first = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "n")).alias("first")
-    return each.groupBy("hash", "size").agg(first).select("hash", "size", F.col("first.page_id").alias("first"), F.col("first.n").alias("n_first"))
+    """For each payload (hash, size): the smallest page_id, how many rows have both, and how many rows ``n`` have the payload."""
+    each = pages.groupBy("hash", "size", "page_id").agg(F.count("*").alias("rows"))
+    first = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "rows")).alias("first")
+    return each.groupBy("hash", "size").agg(first, F.sum("rows").alias("n")).select("hash", "size", F.col("first.page_id").alias("first"), F.col("first.rows").alias("n_first"), "n")
 
 
 def write_archives(pages: DataFrame, uri: str, least_bytes: int = 0) -> DataFrame:
-    """Writes the archives under ``uri``, a folder that executors share; the manifest: path, captures, bytes."""
-    html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    """Writes the archives under ``uri``, a folder that executors share; the manifest: path, captures, bytes.
+
+    Payloads below ``least_bytes`` are all responses. The first captures of common payloads are broadcast, and pages that
+    revisit one pass on without their html; the others meet theirs in a join.
+    """
+    with scratch():
+        return _write_archives(pages, uri, least_bytes)
+
+
+def _write_archives(pages: DataFrame, uri: str, least_bytes: int) -> DataFrame:
+    html, key = F.coalesce(F.col("html"), F.lit("")).cast("binary"), ["hash", "size"]
     keyed = pages.select("page_id", "url", "html", F.sha1(html).alias("hash"), F.octet_length(html).alias("size"))
-    joined = keyed.join(first_captures(keyed), ["hash", "size"])
+    firsts = stage(first_captures(keyed.select("page_id", *key)), "first-captures")
+    hot = hot_keys(firsts, firsts.agg(F.sum("n")).first()[0] or 0)
+    if hot is None:
+        joined = keyed.join(firsts, key)
+    else:
+        few = F.broadcast(hot.drop("parts"))  # bounded, see hot_keys
+        joined = keyed.join(few, key).unionByName(keyed.join(few, key, "left_anti").join(firsts, key))
     small = F.col("size") < least_bytes
-    rows = joined.select(F.monotonically_increasing_id().alias("capture"), "page_id", "url", "html", "hash", F.when(small, F.col("page_id")).otherwise(F.col("first")).alias("first"), F.when(small, 0).otherwise(F.col("n_first")).alias("n_first"))
+    first, n_first = F.when(small, F.col("page_id")).otherwise(F.col("first")), F.when(small, 0).otherwise(F.col("n_first"))
+    is_first = F.col("page_id").eqNullSafe(first)
+    rows = joined.select(F.monotonically_increasing_id().alias("capture"), "page_id", "url", F.when(is_first, F.col("html")).alias("html"), "hash", "size", is_first.alias("is_first"), first.alias("first"), n_first.alias("n_first"))
 
     def write(batches):
         part, k, out, done, total, captures = TaskContext.get().partitionId(), 0, None, 0, 0, 0
         for b in batches:
-            for capture, page_id, url, html, hash_, first, n_first in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for capture, page_id, url, html, hash_, size, is_first, first, n_first in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if out is None:
                     fs, base = filesystem(uri)
                     fs.create_dir(base, recursive=True)
                     name = f"part-{part:07d}-{k:04d}-{uuid.uuid4().hex}.warc.gz"
                     out, total, captures, done = fs.open_output_stream(f"{base}/{name}", compression=None), 0, 0, 0
-                payload, target = (html or "").encode("utf-8", "surrogatepass"), _line(url)
-                is_first = page_id == first
-                named = f"first/{hash_}/{len(payload)}/{first}" if n_first == 1 else None  # known to the revisits
+                target = _line(url)
+                named = f"first/{hash_}/{size}/{first}" if n_first == 1 else None  # known to the revisits
                 own = _id(named if is_first and named else capture, "response")
-                fields = {"WARC-Target-URI": target, "WARC-Payload-Digest": f"sha1:{digest(payload)}"}
+                fields = {"WARC-Target-URI": target, "WARC-Payload-Digest": f"sha1:{base64.b32encode(bytes.fromhex(hash_)).decode()}"}
                 head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
                 if is_first:
-                    block = head + b"Content-Length: %d\r\n\r\n" % len(payload) + payload
+                    payload = (html or "").encode("utf-8", "surrogatepass")
+                    block = head + b"Content-Length: %d\r\n\r\n" % size + payload
                     main = record("response", own, fields | {"Content-Type": "application/http; msgtype=response"}, block)
                 else:
                     refers = {"WARC-Profile": REVISIT, "Content-Type": "application/http; msgtype=response"} | ({"WARC-Refers-To": f"<{_id(named, 'response')}>"} if named else {})
                     main = record("revisit", own, fields | refers, head + b"\r\n")
                 beside = {"WARC-Concurrent-To": f"<{own}>", "WARC-Target-URI": target}
                 ask = record("request", _id(capture, "request"), beside | {"Content-Type": "application/http; msgtype=request"}, f"GET {target} HTTP/1.1\r\n\r\n".encode())
-                about = [f"capture: {capture}", *([f"page-id: {page_id}"] if page_id is not None else []), f"payload-length: {len(payload)}", *([f"refers-to-page: {first}"] if not is_first else [])]
+                about = [f"capture: {capture}", *([f"page-id: {page_id}"] if page_id is not None else []), f"payload-length: {size}", *([f"refers-to-page: {first}"] if not is_first else [])]
                 meta = record("metadata", _id(capture, "metadata"), beside | {"Content-Type": "application/warc-fields"}, "".join(x + "\r\n" for x in about).encode())
                 for x in (ask, main, meta):
                     out.write(x)
                     total += len(x)
-                done, captures = done + len(payload), captures + 1
-                if done >= FILE_BYTES:
+                done, captures = done + (size if is_first else 0), captures + 1
+                if max(done, total) >= FILE_BYTES:
                     out.close()
                     yield pa.RecordBatch.from_pydict({"path": [f"{uri}/{name}"], "captures": [captures], "bytes": [total]})
                     out, k = None, k + 1
@@ -130,7 +147,7 @@ def write_archives(pages: DataFrame, uri: str, least_bytes: int = 0) -> DataFram
             out.close()
             yield pa.RecordBatch.from_pydict({"path": [f"{uri}/{name}"], "captures": [captures], "bytes": [total]})
 
-    return stage(rows.mapInArrow(write, "path string, captures long, bytes long"), "archives")
+    return stage(rows.mapInArrow(write, "path string, captures long, bytes long"), "archives", keep=True)
 
 
 def read_records(manifest: DataFrame, payload: bool = True) -> DataFrame:

@@ -156,6 +156,28 @@ def test_captures(spark):
     assert warc.captures(spark, pages.limit(0)).count() == 0
 
 
+def test_small_payloads_are_all_responses(spark):
+    rows = [(i, "u", "ab" * (i % 3)) for i in range(12)] + [(None, "v", "abab"), (None, "v", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    nested = warc.assemble(warc.read_records(warc.write_archives(pages, fresh(spark, "test-least"), least_bytes=4))).collect()
+    assert len(nested) == len(rows)
+    for n in nested:
+        size = n.metadata.payload_bytes
+        assert (n.response.warc_type == "response") == (size < 4 or n.metadata.page_id == 2)
+        assert n.response.warc_type == "revisit" or len(n.response.payload) == size
+
+
+def test_a_payload_of_a_third_of_all_pages(spark):
+    """Its revisits lie in as many tasks as the pages did, and carry no html."""
+    rows = [(i, f"u{i}", "the same error page" if i % 3 else f"page {i}") for i in range(3000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    manifest = warc.write_archives(pages, fresh(spark, "test-hot"))
+    assert max(r.captures for r in manifest.collect()) < 1500
+    got = warc.captures(spark, pages).collect()
+    assert {g.refers_to for g in got if g.page_id % 3 and g.page_id > 1} == {1} and sum(g.record_type == "response" for g in got) == 1001
+    assert {g.payload_bytes for g in got if g.refers_to} == {len("the same error page")}
+
+
 def test_archives_are_gzip_members_and_nest(spark):
     pages = spark.createDataFrame(PAGES[:4], "page_id long, url string, html string").coalesce(1)
     manifest = warc.write_archives(pages, fresh(spark, "test-warc"))

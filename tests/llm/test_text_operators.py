@@ -124,22 +124,58 @@ def prose(r, n):
     return " ".join("v%d" % min(r.randrange(2000), r.randrange(2000)) for _ in range(n))
 
 
+M64 = (1 << 64) - 1
+
+
+def plain_mix(x):
+    x = ((x ^ (x >> 32)) * 0xD6E8FEB86659FD93) & M64
+    x = ((x ^ (x >> 29)) * 0xA0761D6478BD642F) & M64
+    return x ^ (x >> 32)
+
+
+def plain_fingerprint(text, band):
+    """Slot by slot: the sorted hashes of the distinct terms in the slot's subset, each mixed with its place."""
+    words = sorted(set(text.lower().split()))
+    known = sorted((int(h), w) for h, w in zip(fingerprints.pd.util.hash_array(np.array(words, object), categorize=False), words, strict=True)) if words else []
+    out = []
+    for k in range(fingerprints.SLOTS + 1):
+        last = k == fingerprints.SLOTS
+        own = [h for h, w in known if last or w in band and plain_mix(h ^ int(fingerprints._SALT[k])) <= int(fingerprints._LEVEL[k])]
+        total = sum(plain_mix(h ^ plain_mix(j + 1)) for j, h in enumerate(own)) & M64
+        out.append(max(1, plain_mix((total + 1) & M64) >> 48) if own or last else 0)
+    return out
+
+
+def plain_likeness(a, b):
+    same = filled = 0
+    for level in range(len(fingerprints.RATES), -1, -1):
+        slots = range(level * 32 - 32, level * 32) if level else [fingerprints.SLOTS]
+        same += sum(a[k] == b[k] > 0 for k in slots)
+        filled += sum(a[k] > 0 or b[k] > 0 for k in slots)
+        if filled >= fingerprints.ENOUGH or not level:
+            return same / filled
+
+
 def test_fingerprints(spark):
     r = random.Random(7)
     rows = [(i * 3, prose(r, r.randint(0, 200))) for i in range(150)] + [(None, "first"), (6, None), (1000, "é" * 5), (1001, "")]
-    rows.append((2000, rows[5][1]))
+    rows += [(2000, rows[5][1]), (6, "One one ONE two"), (None, "first"), (None, "first")]
     docs = spark.createDataFrame([(a, b, "z") for a, b in rows], "doc_id long, text string, n_chars string").repartition(5)
     got = fingerprints.fingerprint_documents(docs).collect()
-    order = sorted(((i, t or "") for i, t in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
-    want = {}
+    hashes = {(x.doc_id, x.t): x.h for x in docs.selectExpr("doc_id", "coalesce(text, '') t", "xxhash64(coalesce(text, '')) h").collect()}
+    order = sorted(((i, t or "") for i, t in rows), key=lambda x: (x[0] is not None, x[0] or 0, hashes[x]))
+    df = Counter(w for _, t in rows for w in set((t or "").lower().split()))
+    low, high = (max(2, share * len(rows)) for share in fingerprints.BAND)
+    band, want = {w for w, k in df.items() if low <= k <= high}, []
+    hexed = lambda x: "".join("%04x" % v for v in x)
     for k, (i, t) in enumerate(order):
         following = order[(k + 1) % len(order)][1]
         half = len(t) // 2
-        want[i, len(t)] = hashlib.sha256((t[: len(t) - half] + following[:half]).encode()).hexdigest()
-    assert len(got) == len(rows) and {(g.doc_id, g.n_chars): g.edited_sha256 for g in got} == want
-    prints = {(g.doc_id, g.n_chars): g.fingerprint for g in got}
-    assert prints[2000, len(rows[5][1])] == prints[rows[5][0], len(rows[5][1])]
-    assert all(0 <= g.near_edited <= 1 and 0 <= g.near_next <= 1 for g in got)
+        new = t[: len(t) - half] + following[:half]
+        own, other, after = (plain_fingerprint(x, band) for x in (t, new, following))
+        want.append((i, len(t), hashlib.sha256(new.encode()).hexdigest(), hexed(own), hexed(other), plain_likeness(own, other), plain_likeness(own, after)))
+    key = lambda x: (str(x[0]), *x[1:])
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
     long_ = [g for g in got if g.n_chars > 100]
     assert np.mean([g.near_edited for g in long_]) > np.mean([g.near_next for g in long_])
     one = fingerprints.fingerprint_documents(docs.filter("doc_id = 1000")).first()
@@ -147,6 +183,16 @@ def test_fingerprints(spark):
     assert fingerprints.fingerprint_documents(docs.limit(0)).count() == 0
 
 
+def test_equal_rows_without_ids_are_split(spark):
+    """A third of all rows are one text without an id; no task gets them all, and each row's next is right."""
+    rows = [(None, "the same text again")] * 4000 + [(i, f"text {i} of its own") for i in range(8000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(40)
+    parts = fingerprints.with_next(docs).groupBy("part").count().collect()
+    assert max(p["count"] for p in parts) < 2500
+    got = fingerprints.fingerprint_documents(docs).filter("doc_id is null").groupBy("edited_sha256").count().collect()
+    assert sorted(g["count"] for g in got) == [1, 3999]
+
+
 @pytest.mark.parametrize("n", [300, 3000])
 def test_lexicon_is_the_band_exactly(spark, monkeypatch, n):
     """Many words of one text each: none of them is in the lexicon, and every word of the band is."""
