@@ -1,7 +1,9 @@
 """Whole-text token ids from public tokenizers, with the library's work kept per distinct piece.
 
 A text is cut before spaces where no token can span the cut, so that encoding the pieces and joining
-their ids equals encoding the whole text. Pieces repeat, so their ids are kept in a bounded memo.
+their ids equals encoding the whole text. Pieces repeat, so their ids are kept in a bounded memo. Plain new pieces
+are encoded many at a time, one after the other as in a text, and told apart by the lengths of the tokens.
+A text without such cuts (base64, or writing without spaces) goes to the library whole.
 """
 
 from __future__ import annotations
@@ -26,8 +28,12 @@ SLICE_BYTES = 4 << 20
 _SPACES = r"\t-\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: Stands for a cut; texts that hold it are cut another way.
 _MARK = "\x01"
-#: A Latin letter before ASCII punctuation: tokens end there.
-_INNER = r"([A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}])([.,!?;:&%$#*|])"
+#: A Latin letter before ASCII punctuation: tokens end there. U+0130 isn't one, as its lower case ends in a mark.
+_INNER = r"([A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{24f}])([.,!?;:&%$#*|])"
+#: Pieces that are a space and a word in letters that keep their lengths: many of them are encoded as one text.
+_PLAIN = re.compile(r" [!-;=-~\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+#: Pieces of such a text.
+_JOINED = 256
 #: A cut that is safe beside special strings and runs of white space too.
 _STRICT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -51,6 +57,19 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES):
         yield start, len(size)
 
 
+def gathered(batches, column: int, least: int = SLICE_BYTES):
+    """Record batches put together until their texts are worth a call, whatever size the session gives them."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.column(column).nbytes
+        if size >= least:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 class Encoder:
     """Ids of texts as one flat array and the number of ids of each text.
 
@@ -62,7 +81,7 @@ class Encoder:
     def __init__(self, path: str):
         worker_threads()
         self.sentencepiece = path.endswith(".model")
-        self.safe_cuts, self.special = None, []
+        self.safe_cuts, self.special, self.suffix = None, [], None
         if self.sentencepiece:
             import sentencepiece
 
@@ -75,12 +94,20 @@ class Encoder:
                 self._read_rules(json.load(f))
         self.vocabulary = self.tokenizer.get_piece_size() if self.sentencepiece else self.tokenizer.get_vocab_size()
         self._forget()
+        self.width = self._widths() if self.safe_cuts and all("<" in x for x in self.special) else None
+
+    def _widths(self) -> np.ndarray:
+        """Bytes of text that each token stands for; a byte is one character in these vocabularies."""
+        out, suffix = np.zeros(self.vocabulary, np.int64), self.suffix
+        for token, i in self.tokenizer.get_vocab().items():
+            out[i] = len(token) - (len(suffix) if suffix and token.endswith(suffix) else 0)
+        return out
 
     def _read_rules(self, spec: dict) -> None:
         added = spec.get("added_tokens") or []
         self.special = [t["content"] for t in added]
         plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"]) and not re.search(r"\s", t["content"]) for t in added)
-        before = spec.get("pre_tokenizer") or {}
+        before, self.suffix = spec.get("pre_tokenizer") or {}, (spec.get("model") or {}).get("end_of_word_suffix")
         if not plain or spec.get("truncation") or spec.get("padding"):
             return
         if before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not spec.get("normalizer"):
@@ -110,14 +137,33 @@ class Encoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, pieces: list[str]) -> None:
+        if self.width is not None:
+            plain = [p for p in pieces if _PLAIN.fullmatch(p)]
+            for at in range(0, len(plain), 16 * _JOINED):
+                self._learn_joined(plain[at : at + 16 * _JOINED])
+            pieces = [p for p in pieces if p not in self.slot]
         for at in range(0, len(pieces), 4096):
             part = pieces[at : at + 4096]
             self._keep(part, self._library(part))
 
+    def _learn_joined(self, part: list[str]) -> None:
+        """Learns the pieces if a token ends where each of them does; else they are left to be learnt one by one."""
+        found = self._library(["".join(part[at : at + _JOINED]) for at in range(0, len(part), _JOINED)])
+        flat = np.fromiter(chain.from_iterable(found), np.uint32, sum(map(len, found)))
+        said = np.cumsum(self.width[flat])
+        size = np.fromiter((len(p.encode()) for p in part), np.int64, len(part))
+        ends = np.cumsum(size - (self.safe_cuts == "drop"))  # the space is no token's there
+        last = np.searchsorted(said, ends)
+        if last[-1] == len(flat) - 1 and np.array_equal(said[last], ends):
+            self._keep_flat(part, flat, np.diff(last, prepend=-1))
+
     def _keep(self, part: list[str], ids: list) -> None:
-        first = len(self.slot)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        need, last = self.filled + int(sizes.sum()), first + len(part)
+        self._keep_flat(part, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes)
+
+    def _keep_flat(self, part: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
+        first = len(self.slot)
+        need, last = self.filled + len(flat), first + len(part)
         if need > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(max(need, len(self.pool)), np.uint32)])
         while last > len(self.count):
@@ -125,7 +171,7 @@ class Encoder:
         self.slot.update(zip(part, range(first, last), strict=True))
         self.count[first:last] = sizes
         self.begin[first:last] = self.filled + np.cumsum(sizes) - sizes
-        self.pool[self.filled : need] = np.fromiter(chain.from_iterable(ids), np.uint32, need - self.filled)
+        self.pool[self.filled : need] = flat
         self.filled = need
 
     def _slots(self, pieces: list[str]) -> np.ndarray:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc32_ids, stage
-from .encoding import default_path, encoder
+from .encoding import default_path, encoder, gathered
 from .token_files import id_type, with_end
 
 #: Partitions up to which their offsets, 16 bytes each, are broadcast; beyond, the ids are shuffled to meet them.
@@ -42,7 +42,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, length:
 
     def encode(batches):
         part, at = TaskContext.get().partitionId(), 0
-        for b in batches:
+        for b in gathered(batches, 1):
             flat, n = with_end(*encoder(path).encode(b.column(1)), end_id)
             ends = np.concatenate([[0], np.cumsum(n)])
             ids = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends * np.dtype(dtype).itemsize), pa.py_buffer(flat.astype(dtype))])

@@ -1,7 +1,8 @@
 """Token counts: Arrow functions that encode in batches balanced by bytes and return lengths only.
 
-A null text counts as empty; empty texts have 0 tokens. Very long texts are cut at safe boundaries
-(see ``encoding``), so that no single call to the library grows with a text. Repeated rows are
+A null text counts as empty; empty texts have 0 tokens. Long texts are split at safe boundaries (see ``encoding``), so
+that calls to the library are small but for texts that have none, and for sentencepiece models, which get
+texts whole. Repeated rows are
 counted row by row; an empty table gives an empty result; columns beside the two named ones are ignored.
 """
 
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .encoding import default_path, encoder
+from .encoding import default_path, encoder, gathered
 
 
 def token_counts(docs: DataFrame, tokenizer: str | None = None, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -20,7 +21,7 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None, limit: int = 102
 
     def count(batches):
         lengths = encoder(path).lengths
-        for b in batches:
+        for b in gathered(batches, 1):
             text = pc.fill_null(b.column(1), "")
             n = pa.array(lengths(text), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), pc.cast(pc.binary_length(text), pa.int64()), n, pc.greater(n, limit)], [id_col, "n_bytes", "n_tokens", "over_limit"])

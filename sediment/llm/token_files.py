@@ -7,7 +7,7 @@ reader that maps the file gets each row as a view. ``NAME.docs.arrow`` has doc_i
 shard before the document) and n_tokens. Documents lie in ascending doc_id order within and across shards.
 
 Null texts are empty documents (the end id alone); null ids come first; rows with equal ids are ordered
-by their text; an empty table writes no shard and reads back as no rows; other columns are ignored.
+by a hash of their text, and may lie in several shards; an empty table writes no shard and reads back as no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,9 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import crc32_ids, filesystem, fresh, stage
-from .encoding import default_path, encoder
+from .encoding import default_path, encoder, gathered
 
 #: Rows of a record batch.
 ROWS = 256
@@ -126,7 +127,7 @@ def write_token_files(docs: DataFrame, uri: str, tokenizer: str | None = None, e
 
     def write(batches):
         writer, shard = None, TaskContext.get().partitionId()
-        for b in batches:
+        for b in gathered(batches, 1):
             if not len(b):
                 continue
             if writer is None:
@@ -138,7 +139,8 @@ def write_token_files(docs: DataFrame, uri: str, tokenizer: str | None = None, e
             writer.close()
             yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [target], "n_docs": [writer.n_docs], "n_tokens": [writer.n_tokens]})
 
-    dealt = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"), F.spark_partition_id().alias("of"))  # so that equal ids don't fill one range
+    dealt = keyed.repartitionByRange("doc_id", "hash", "of").sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text")
     return stage(dealt.mapInArrow(write, "shard long, path string, n_docs long, n_tokens long"), "manifest")
 
 

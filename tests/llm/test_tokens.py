@@ -1,5 +1,6 @@
 """Operators 1, 3 and 9 against the tokenizers library on whole texts."""
 
+import random
 import zlib
 
 import numpy as np
@@ -12,7 +13,7 @@ from tokenizers import Tokenizer
 from sediment.llm import encoding, packing, token_counts, token_files
 from sediment.llm.common import fresh
 
-ALPHABET = [" ", "  ", "\n", "\t", "a", "B", "é", "'s", "1", "23", "!", ".", ",", "&", "<|endoftext|>", " ", "　", "\x1c", "日本", "́", "Σ", "😀", "\r", "<|startoftext|>", "<|", "\x01", "word", " "]
+ALPHABET = [" ", "  ", "\n", "\t", "a", "B", "é", "'s", "1", "23", "!", ".", ",", "&", "<|endoftext|>", " ", "　", "\x1c", "日本", "́", "Σ", "😀", "\r", "<|startoftext|>", "<|", "\x01", "İ", "Ĳ", "word", " "]
 NAMES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
 WHOLE = {n: Tokenizer.from_file(encoding.default_path(n)) for n in NAMES}
 MEMO = {n: encoding.Encoder(encoding.default_path(n)) for n in NAMES}
@@ -32,6 +33,34 @@ def test_pieces_equal_whole_texts(name, texts):
     assert MEMO[name].lengths(pa.array(texts, pa.string())).tolist() == n.tolist()
 
 
+@pytest.mark.parametrize("name", NAMES)
+def test_joined_pieces_equal_whole_texts(name):
+    """Thousands of new words at once, so that they are encoded together; words in other letters are not."""
+    r = random.Random(3)
+    letters = ["abcdefgh", "ABcdé", "ÀÖÿß", "a1'2", "x.,-", "日本語", "ǰJ\u030c", "İıſK", "\u212b\u0301"]
+    texts = [" ".join("".join(r.choice(r.choice(letters[: 5 if k % 3 else 9])) for _ in range(r.randint(1, 12))) for _ in range(400)) for k in range(30)]
+    e = encoding.Encoder(encoding.default_path(name))
+    flat, n = e.encode(pa.array(texts))
+    want = whole(name, texts)
+    assert n.tolist() == [len(w) for w in want] and flat.tolist() == [i for w in want for i in w]
+    joined = []
+    e._library, library = lambda x: joined.append(max(map(len, x))) or library(x), e._library
+    e.encode(pa.array([" ".join(f"w{i}x{r.random()}" for i in range(900))]))
+    assert max(joined) > 1000
+
+
+def test_a_text_without_spaces():
+    text = pa.array(["Zm9v" * 50_000, "漢字" * 20_000])
+    for name in NAMES:
+        assert MEMO[name].lengths(text).tolist() == [len(w) for w in whole(name, text.to_pylist())]
+
+
+def test_batches_are_gathered():
+    batches = [pa.RecordBatch.from_pydict({"i": [k], "t": ["x" * 10]}) for k in range(25)]
+    found = list(encoding.gathered(iter(batches), 1, 60))
+    assert [i for b in found for i in b.column(0).to_pylist()] == list(range(25)) and 3 <= len(found) < 25
+
+
 def test_memo_survives_being_cleared(monkeypatch):
     monkeypatch.setattr(encoding, "MEMO_PIECES", 5)
     e = encoding.Encoder(encoding.default_path(NAMES[0]))
@@ -72,7 +101,8 @@ def test_token_files(spark, docs):
     uri = fresh(spark, "test-token-files")
     manifest = token_files.write_token_files(docs, uri, length=16)
     got = token_files.read_token_files(spark, manifest).collect()
-    order = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    hashes = {(r.doc_id, r.text): r.h for r in docs.selectExpr("doc_id", "text", "xxhash64(text) h").collect()}
+    order = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r]))
     at, want = 0, []
     for (i, _), w in zip(order, whole(NAMES[0], [t for _, t in order]), strict=True):
         ids = np.array([*w, 0], "<u4")
@@ -92,6 +122,17 @@ def test_token_files(spark, docs):
     assert token_files.read_token_files(spark, empty).count() == 0
 
 
+def test_rows_without_ids_fill_no_shard(spark):
+    rows = [(None, "the same text")] * 3000 + [(i, f"text {i}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(30)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    manifest = token_files.write_token_files(docs, fresh(spark, "test-hot-ids"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(r.n_docs for r in manifest.collect()) < 2500
+    got = token_files.read_token_files(spark, manifest).orderBy("start").collect()
+    assert [g.doc_id for g in got] == [None] * 3000 + list(range(3000)) and all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:], strict=False))
+
+
 def test_packing(spark, docs):
     got = packing.pack(docs, length=64, keep_ids=True).collect()
     ids = {}
