@@ -87,19 +87,19 @@ def unused(columns: list[str], name: str) -> str:
     return name
 
 
-#: Rows of a key that a task takes in any case, and hot keys for each task at most.
-HOT_ROWS, HOT_KEYS = 32, 4
+#: Rows of a key that a task takes in any case if they are ids alone, and hot keys for each task at most.
+HOT_ROWS, HOT_KEYS = 4096, 4
 
 
-def hot_keys(counts: DataFrame, total: int) -> DataFrame | None:
+def hot_keys(counts: DataFrame, total: int, least: int = HOT_ROWS) -> DataFrame | None:
     """Of ``counts``, whose column ``n`` counts the rows of a key, those keys that hold more than a task's share of all ``total``
     rows, with ``parts``, the number of tasks that they are dealt over.
 
     A key is hot from a part of 1 / HOT_KEYS of a task's even share on, so there are no more hot keys than HOT_KEYS times the
-    number of shuffle partitions, whatever the input.
+    number of shuffle partitions, whatever the input. ``least`` rows of a key are no matter for a task.
     """
     spark = counts.sparkSession
-    most = max(HOT_ROWS, total // (HOT_KEYS * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    most = max(least, total // (HOT_KEYS * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     if total <= most:
         return None
     hot = stage(counts.filter(F.col("n") > most).withColumn("parts", F.ceil(F.col("n") / most).cast("int")).coalesce(1), "hot-keys")

@@ -173,7 +173,7 @@ def _turned(rounded: DataFrame, most: int) -> DataFrame | None:
     """The pieces with ``more`` changed by one document of each source that this brings closer to its target, or None if there is none."""
     taken = F.sum(F.col("size") * (F.col("whole") * F.col("n") + F.col("more")))
     left = rounded.groupBy("key").agg((F.first("target") - taken).alias("left"), F.count("*").alias("n"))
-    hot = hot_keys(left.select("key", "n"), rounded.count())
+    hot = hot_keys(left.select("key", "n"), rounded.count(), 256)
     open_ = dealt_join(rounded, left.select("key", "left"), ["key"], hot).filter(F.when(F.col("left") > 0, (F.col("more") < F.col("n")) & (F.col("whole") < most)).otherwise(F.col("more") > 0))
     off = F.abs(F.col("size") - F.abs("left"))
     best = open_.filter(off < F.abs("left") - 1e-6).groupBy("key").agg(F.min(F.struct(off.alias("off"), "mark", "cls", "size", "piece")).alias("b"), F.first(F.signum("left").cast("long")).alias("turn"))

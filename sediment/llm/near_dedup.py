@@ -40,7 +40,9 @@ from .components import components
 from .fingerprints import _mix
 
 #: Retained hashes, similarity, nodes of a short list, nodes of a block.
-K, SIMILARITY, SHORT, BLOCK = 48, 0.8, 4, 512
+K, SIMILARITY, SHORT, BLOCK = 48, 0.8, 16, 256
+#: Rows with full sets that a task takes of a node in any case.
+FULL_ROWS = 32
 #: Chance to miss a pair of exactly the wanted similarity.
 CHANCE = 1e-6
 #: Pairs for each member beyond which a pair of blocks is compared by full sets where it is.
@@ -244,7 +246,7 @@ def _verified(pairs: DataFrame, sets: _Sets, similarity: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
 
     total = pairs.count()
-    hot = {c: hot_keys(pairs.groupBy(c).agg(F.count("*").alias("n")), total) for c in "ab"}
+    hot = {c: hot_keys(pairs.groupBy(c).agg(F.count("*").alias("n")), total, FULL_ROWS) for c in "ab"}
     keyed = sets.keyed(sets.keyed(pairs, "a", hot["a"]), "b", hot["b"])
     both = sets.joined(sets.joined(keyed, "a", hot["a"]), "b", hot["b"])
     return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
@@ -318,13 +320,15 @@ def _blocked(members: DataFrame, similarity: float) -> tuple[DataFrame, DataFram
     """Members (pivot, node, component, size) of groups of several components with their ``block``, and the pairs (i, j) of
     blocks to compare.
 
-    A block's nodes have a size class, and one component if that is large. Sizes of similar sets differ by one class at most.
+    A group that is a block's worth is one block. In a larger one a block's nodes have a size class, and one component if
+    that is large. Sizes of similar sets differ by one class at most.
     """
     groups = members.groupBy("pivot").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
     total = members.count()
-    own = dealt_join(members, groups.select("pivot"), ["pivot"], hot_keys(groups.select("pivot", "n"), total))
-    own = stage(own.withColumn("cls", F.floor(F.log("size") / math.log(1 / similarity) + 1e-9).cast("int") if similarity < 1 else F.col("size").cast("int")), "grouped")
-    large = own.groupBy("pivot", "cls", "component").agg(F.count("*").alias("n")).filter(F.col("n") >= BLOCK)
+    own = dealt_join(members, groups.select("pivot", F.col("n").alias("all")), ["pivot"], hot_keys(groups.select("pivot", "n"), total))
+    cls = F.floor(F.log("size") / math.log(1 / similarity) + 1e-9).cast("int") if similarity < 1 else F.col("size").cast("int")
+    own = stage(own.withColumn("cls", F.when(F.col("all") > BLOCK, cls).otherwise(0)), "grouped")
+    large = own.filter(F.col("all") > BLOCK).groupBy("pivot", "cls", "component").agg(F.count("*").alias("n")).filter(F.col("n") >= BLOCK)
     pool_of = dealt_join(own, large.select("pivot", "cls", "component", F.col("component").alias("pool")), ["pivot", "cls", "component"], hot_keys(large, total), "left")
     pooled = stage(pool_of.withColumn("pool", F.coalesce("pool", F.lit(-1))), "pooled")
     pools = pooled.groupBy("pivot", "cls", "pool").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))

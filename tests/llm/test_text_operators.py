@@ -269,6 +269,66 @@ def test_near_duplicates(spark, monkeypatch, width, short, block, dense):
     assert all(g.kept == (g.doc_id is not None and g.doc_id == g.component_id) for g in found.collect())
 
 
+@pytest.mark.parametrize(("similarity", "edits"), [(0.5, 40), (0.75, 20), (0.9, 8), (1.0, 1)])
+def test_other_similarities(spark, similarity, edits):
+    """Sets of every size, from those of one shingle on, and pairs at exactly the similarity."""
+    r = random.Random(int(similarity * 100))
+    texts = ["a", "a b", "a b c", "a b c d", "a b c d e", "a b c d e f", None, ""]
+    for size in range(3, 40):
+        base = [f"x{r.randrange(10**6)}" for _ in range(size)]
+        texts += [" ".join(base), " ".join(base[: max(1, round((size - 1) * similarity) + 1)]), " ".join([*base, "tail"])]
+    for size in (80, 200):
+        texts += family(r, " ".join("v%d" % r.randrange(400) for _ in range(size)), 25, edits)
+    r.shuffle(texts)
+    rows = list(enumerate(texts))
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 2, similarity).collect()
+    assert sorted((g.doc_id, g.n_shingles, g.component_id) for g in found) == plain_components(rows, 2, round(100 * similarity))
+
+
+def test_bounds_follow_the_similarity():
+    from math import comb
+
+    for t in (0.5, 0.8, 0.9):
+        c = near_dedup.shared_at_least(t)
+        below = lambda n, t=t: sum(comb(near_dedup.K, k) * t**k * (1 - t) ** (near_dedup.K - k) for k in range(n))
+        assert below(c) <= near_dedup.CHANCE < below(c + 1)
+    assert near_dedup.shared_at_least(0.8) == 24
+    for bad in (0, -1, 1.01):
+        with pytest.raises(ValueError, match="similarity"):
+            near_dedup.exactly(bad)
+
+
+@pytest.mark.parametrize("words", [1 << 22, 0])
+def test_hot_pivot_hub_and_text(spark, monkeypatch, words):
+    """A third of all rows are copies of one text, and a third near copies of another one, by the filter and by the join."""
+    monkeypatch.setattr(near_dedup, "BLOOM_WORDS", words)
+    monkeypatch.setattr("sediment.llm.components.hot_keys", lambda counts, total: near_dedup.hot_keys(counts, total, 8))
+    r = random.Random(21)
+    texts = ["one text over and over again"] * 120 + [" ".join(f"u{r.randrange(10**6)}" for _ in range(30)) for _ in range(60)]
+    texts += family(r, " ".join(f"w{k}" for k in range(90)), 120, 3)
+    r.shuffle(texts)
+    rows = [(None if k % 11 == 0 else k, t) for k, t in enumerate(texts)]
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 2).collect()
+    assert sorted((-1 if g.doc_id is None else g.doc_id, g.n_shingles, -1 if g.component_id is None else g.component_id) for g in found) == plain_components(rows, 2)
+    assert spark.sql("SHOW TABLES").filter("tableName like 'sets_%'").count() == 0
+
+
+def test_tables_go_when_a_job_fails(spark, monkeypatch):
+    import glob
+
+    from sediment.llm.common import shared_dir
+
+    def fail(*_):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(near_dedup, "_verified", fail)
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(glob.glob(f"{folder}/*"))
+    with pytest.raises(RuntimeError, match="lost"):
+        near_dedup.near_duplicates(spark.createDataFrame([(k, f"a b c d e f g {k}") for k in range(9)], "doc_id long, text string"), 2)
+    assert set(glob.glob(f"{folder}/*")) == before and spark.sql("SHOW TABLES").filter("tableName like 'sets_%'").count() == 0
+
+
 def test_near_duplicates_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert near_dedup.near_duplicates(docs).count() == 0
