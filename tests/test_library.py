@@ -97,14 +97,33 @@ def test_cuts_equal_the_definition(seed, sizes, scaled, n):
     assert b"".join(chunking.split(data, sizes, scaled)) == data
 
 
-def test_chunking_finds_its_place_again(monkeypatch):
-    monkeypatch.setattr(chunking, "WINDOW", 100_000)
-    data = random.Random(7).randbytes(2 << 20)
-    before = set(chunking.split(data))
-    after = chunking.split(data[:100] + b"HELLO" + data[100:])
-    assert sum(c in before for c in after) >= 0.9 * len(after)
-    assert 16384 < len(data) / len(before) < 65536
-    assert bin(chunking.mask(18)).count("1") == 18 and chunking.masks(scaled=True) == chunking.masks()
+@settings(max_examples=12, deadline=None)
+@given(st.integers(0, 2**32), st.floats(0, 1), st.binary(min_size=1, max_size=300), st.booleans())
+def test_chunks_away_from_an_edit_stay(seed, place, put, replace):
+    """Bytes put in or over others change chunks up to the next cut or two; all others are found again."""
+    sizes = (512, 2048, 8192)
+    data = random.Random(seed).randbytes(200_000)
+    at = int(place * len(data))
+    edited = data[:at] + put + data[at + len(put) * replace :]
+    before, after = chunking.split(data, sizes, True), chunking.split(edited, sizes, True)
+    kept = set(before)
+    assert b"".join(after) == edited and sum(c not in kept for c in after) <= 12
+    start = 0
+    for c in before:  # those that end before the edit are the same, one by one
+        if start + len(c) + sizes[2] > at:
+            break
+        assert c == after[before.index(c)]
+        start += len(c)
+
+
+def test_default_sizes_hold_and_average():
+    data = random.Random(31).randbytes(3_000_000)
+    found = chunking.cuts(data)
+    least, average, most = 8 << 10, 32 << 10, 128 << 10
+    assert sum(found) == len(data) and all(least <= n <= most for n in found[:-1]) and average / 2 < len(data) / len(found) < 2 * average
+    for strict in range(2, 33):
+        assert bin(chunking.mask(strict)).count("1") == strict
+    assert chunking.masks(scaled=True) == chunking.masks()
 
 
 def test_tables_of_constants():
@@ -127,24 +146,56 @@ def test_filters_are_undone(data, byte, base):
     assert filters.unapply(byte, filters.apply(byte, data, base), base) == data
 
 
-def test_filter_rules():
-    two = bytearray(64)
-    for at in (0, 32):
-        two[at] = 0xE8
-        two[at + 1 : at + 5] = (1000 - at).to_bytes(4, "little")
-    out = filters.apply(1, bytes(two))
-    assert out[1:5] == out[33:37]
-    ramp = filters.apply(0x41, bytes(i * 3 % 256 for i in range(99)))
-    assert set(ramp[1:]) == {3}
-    noise = random.Random(1).randbytes(200_000)
-    code = b"".join(b"\xe8\x01\x02\x03\x00" + random.Random(i).randbytes(35) for i in range(3000))
-    records = b"".join(b"constantrec" + bytes([random.Random(i).randrange(256)]) for i in range(2000))
-    assert not filters.looks_like_code(noise) and filters.looks_like_code(code)
-    assert filters.likely_stride(records) == 12 and filters.likely_stride(noise) == 0 and filters.likely_stride(b"short") == 0
-    assert filters.analyze(noise) == (0, True) and filters.analyze(code) == (1, False) and filters.analyze(b"a b" * 9000).incompressible is False
-    for bad in (0x40, 0x80, 0x02):
-        with pytest.raises(filters.Corrupt):
-            filters.stride_of(bad)
+@settings(max_examples=80, deadline=None)
+@given(st.integers(0, 2**32 - 1), st.lists(st.integers(5, 60), min_size=2, max_size=6), st.sampled_from([0xE8, 0xE9]))
+def test_branches_to_one_place_become_alike(target, gaps, opcode):
+    """Wherever they stand, branches to the same absolute place have the same operands after the filter."""
+    data, places = bytearray(), []
+    for gap in gaps:
+        data += bytes(gap - 5)
+        places.append(len(data))
+        data += bytes([opcode]) + ((target - len(data) - 5) % 2**32).to_bytes(4, "little")
+    out = filters.apply(1, bytes(data))
+    assert {out[p + 1 : p + 5] for p in places} == {target.to_bytes(4, "little")}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 63), st.integers(0, 255), st.integers(70, 400))
+def test_a_ramp_of_any_stride_becomes_flat(stride, step, n):
+    ramp = bytes(k // stride * step % 256 for k in range(n))
+    assert set(filters.apply(0x40 + stride, ramp)[stride:]) == {step}
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.integers(2, 30), st.integers(0, 2**32))
+def test_records_show_their_width(width, seed):
+    r = random.Random(seed)
+    records = b"".join(bytes([k + 1 for k in range(width - 1)]) + r.randbytes(1) for _ in range(6000 // width))
+    found = filters.likely_stride(records)
+    assert found and found % width == 0 or found == width
+    assert filters.likely_stride(r.randbytes(4000)) == 0 and filters.likely_stride(records[:300]) == 0
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.integers(20, 700), st.integers(0, 2**32))
+def test_code_is_told_by_its_branches(every, seed):
+    r = random.Random(seed)
+    plain = bytes(r.choice(b"the quick and other words\n") for _ in range(every - 5))
+    code = (plain + b"\xe9" + r.randbytes(3) + r.choice([b"\0", b"\xff"])) * (60_000 // every)
+    noise = r.randbytes(60_000)
+    assert filters.looks_like_code(code) and not filters.looks_like_code(noise) and not filters.looks_like_code(plain * 90)
+    assert filters.analyze(code) == (1, False) and filters.analyze(noise) == (0, True)
+    assert filters.analyze(noise[:4000] * 9).incompressible is False and filters.analyze(noise[:5000]) == (0, False)
+
+
+def test_unknown_filters_and_probes():
+    known = {0, 1, *range(0x41, 0x80)}
+    for byte in range(256):
+        if byte in known:
+            assert filters.stride_of(byte) == max(0, byte - 0x40)
+        else:
+            with pytest.raises(filters.Corrupt):
+                filters.stride_of(byte)
     for n in (0, 100, 24 << 10, 100_000, 300_000):
         assert all(0 <= a <= n - min(n, filters.SLICE_BYTES) for a in filters.probe_starts(n))
 
