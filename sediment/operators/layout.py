@@ -83,40 +83,85 @@ def entry_states(lengths: np.ndarray, block_size: int) -> pd.DataFrame:
     return pd.DataFrame({"reach": ends[:first], "cuts": cut[:n][:first], "left": left[:n][:first]})
 
 
+def follow(states: pd.DataFrame, after: pd.DataFrame, block_size: int) -> pd.DataFrame:
+    """The states of two runs, one after the other, as those of one run; both have the columns of ``entry_states`` and ``total``.
+
+    There are no more of them than chunks that end in the first ``block_size`` bytes.
+    """
+    total = int(states["total"].iloc[0])
+    reach, cuts, left = (after[k].to_numpy() for k in ("reach", "cuts", "left"))
+    at = np.searchsorted(reach, block_size - states["left"].to_numpy())
+    known = np.minimum(at, len(after) - 1)
+    ends = at < len(after)
+    first = pd.DataFrame({
+        "reach": states["reach"], "cuts": states["cuts"] + np.where(ends, cuts[known], 0),
+        "left": np.where(ends, left[known], states["left"] + int(after["total"].iloc[0])),
+    })
+    later = pd.DataFrame({"reach": reach + total, "cuts": cuts, "left": left})[: len(after) if total < block_size else 0]
+    both = pd.concat([first, later], ignore_index=True)
+    wanted = np.append(True, both["reach"].to_numpy()[:-1] < block_size)  # up to the first that fills a block
+    return both[wanted].assign(total=total + int(after["total"].iloc[0]))
+
+
+def _next(state: tuple[int, int], states: pd.DataFrame, block_size: int) -> tuple[int, int]:
+    """(block, bytes in it) after a run that begins at such a state."""
+    block, filled = state
+    j = int(np.searchsorted(states["reach"].to_numpy(), block_size - filled))
+    if j < len(states):
+        return block + int(states["cuts"].iloc[j]), int(states["left"].iloc[j])
+    return block, filled + int(states["total"].iloc[0])
+
+
+#: Ranges whose states one task puts together, so that the driver sees one of so many.
+TOGETHER = 512
+
+
 def pack_blocks(chunks: DataFrame, block_size: int) -> DataFrame:
-    """``block_idx`` of each (chunk_idx, len), as the sequential greedy fold gives it, in two parallel passes.
+    """``block_idx`` of each (chunk_idx, len), as the sequential greedy fold gives it, in parallel passes.
 
-    Pass one reduces each range of chunks to its ``entry_states``; the driver threads the state of the open block
-    through the ranges, one search each; pass two cuts every range from its own state. Only lengths are in it.
+    Each range of chunks is reduced to its ``entry_states``, and TOGETHER ranges at a time to those of one run. The driver
+    threads the state of the open block through the runs, one search each; the runs' tasks thread it through their
+    ranges; the last pass cuts every range from its own state. Only lengths are in it.
     """
     spark = chunks.sparkSession
     dealt, _ = _dealt(chunks.select("chunk_idx", "len"), [F.col("chunk_idx")])
     dealt = dealt.select("_part", "chunk_idx", "len")
+    shape = "_part int, reach long, cuts long, left long, total long"
 
     def states(pdf: pd.DataFrame) -> pd.DataFrame:
         lengths = pdf.sort_values("chunk_idx")["len"].to_numpy()
-        return entry_states(lengths, block_size).assign(_part=pdf["_part"].iloc[0], total=int(lengths.sum()))
-
-    found = dealt.groupBy("_part").applyInPandas(states, "reach long, cuts long, left long, _part int, total long").toPandas()
-    block, filled, starts = 0, 0, []
+        return entry_states(lengths, block_size).assign(_part=pdf["_part"].iloc[0], total=int(lengths.sum()))[["_part", "reach", "cuts", "left", "total"]]
+
+    def runs(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = None
+        for _, g in pdf.sort_values(["_part", "reach"]).groupby("_part"):
+            found = g.drop(columns="_part") if found is None else follow(found, g, block_size)
+        return found.assign(_part=pdf["_part"].iloc[0] // TOGETHER)[["_part", "reach", "cuts", "left", "total"]]
+
+    each = stage(dealt.groupBy("_part").applyInPandas(states, shape), "states")
+    run = F.floor(F.col("_part") / TOGETHER).cast("int")
+    found = each.groupBy(run).applyInPandas(runs, shape).toPandas()  # a run has states of its first block alone
+    state, entry = (0, 0), {}
     for part, g in found.sort_values(["_part", "reach"]).groupby("_part"):
-        starts.append((int(part), block, filled))
-        j = int(np.searchsorted(g["reach"].to_numpy(), block_size - filled))
-        if j < len(g):
-            block, filled = block + int(g["cuts"].iloc[j]), int(g["left"].iloc[j])
-        else:
-            filled += int(g["total"].iloc[0])
-    entry = {part: (block, filled) for part, block, filled in starts}  # a row per range
-
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk_idx")
-        block, filled = entry[int(pdf["_part"].iloc[0])]
-        own = greedy_blocks(np.concatenate([[filled], pdf["len"].to_numpy()]), block_size)[1:]
-        return pd.DataFrame({"chunk_idx": pdf["chunk_idx"], "len": pdf["len"], "block_idx": own + block})
-
+        entry[int(part)] = state
+        state = _next(state, g, block_size)
     if not entry:
         return spark.createDataFrame([], "chunk_idx long, len long, block_idx long")
-    return dealt.groupBy("_part").applyInPandas(assign, "chunk_idx long, len long, block_idx long")
+
+    def thread(pdf: pd.DataFrame) -> pd.DataFrame:
+        now, out = entry[int(pdf["_part"].iloc[0]) // TOGETHER], []
+        for part, g in pdf.sort_values(["_part", "reach"]).groupby("_part"):
+            out.append((int(part), *now))
+            now = _next(now, g, block_size)
+        return pd.DataFrame(out, columns=["_part", "block", "filled"])
+
+    def assign(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left, (block, filled) = left.sort_values("chunk_idx"), right[["block", "filled"]].iloc[0]
+        own = greedy_blocks(np.concatenate([[filled], left["len"].to_numpy()]), block_size)[1:]
+        return pd.DataFrame({"chunk_idx": left["chunk_idx"], "len": left["len"], "block_idx": own + block})
+
+    begun = each.groupBy(run).applyInPandas(thread, "_part int, block long, filled long")
+    return dealt.groupBy("_part").cogroup(begun.groupBy("_part")).applyInPandas(assign, "chunk_idx long, len long, block_idx long")
 
 
 def block_table(packed: DataFrame) -> DataFrame:
@@ -148,7 +193,11 @@ def ref_deltas(chunks: Column) -> Column:
 
 def lag_deltas(rows: DataFrame, order: str, value: str, name: str) -> DataFrame:
     """Difference of ``value`` from the row before in ``order``; the first from 0."""
-    return rows.withColumn(name, F.col(value) - F.lag(value, 1, 0).over(Window.orderBy(order)))
+    dealt, keys = _dealt(rows, [F.col(order)])
+    last = dealt.groupBy("_part").agg(F.max_by(value, keys[0]).alias("_last"))
+    before = last.select("_part", F.lag("_last", 1, 0).over(Window.orderBy("_part")).alias("_base"))  # a row for each range
+    own = F.lag(value).over(Window.partitionBy("_part").orderBy(*keys))
+    return dealt.withColumn("_own", own).join(before, "_part").withColumn(name, F.col(value) - F.coalesce("_own", "_base")).drop("_part", "_own", "_base", *keys)
 
 
 def resolve_refs(entries: DataFrame, chunks: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,10 @@ LOCAL = "file:///tmp/checkpoints/sediment"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder named in ``spark.checkpoint.dir``; a local one only where that is unset and all runs on one machine."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir names no folder that the driver and all executors share")
     return (path or LOCAL).rstrip("/")
 
 
