@@ -51,6 +51,7 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--no-sort", action="store_true")
         c.add_argument("--filter", type=parse_filter, default=None)
         c.add_argument("--force-compress", action="store_true")
+        c.add_argument("--exact", action="store_true", help="judge samples by the level-1 coder itself")
         for flag in ("keep-going", "force", "verbose", "quiet"):
             c.add_argument(f"-{flag[0]}", f"--{flag}", action="store_true")
     return p
@@ -92,6 +93,14 @@ def compare(data: bytes, level: int) -> list[tuple[str, int, float]]:
         f"level {level}": lambda: packing.pack(data, level, effort=packing.ALWAYS).data, "gzip -9": lambda: gzip.compress(data, 9),
         "bzip2 -9": lambda: bz2.compress(data, 9), "xz -9e": lambda: lzma.compress(data, preset=9 | lzma.PRESET_EXTREME),
     }
+    if packing.find_zstd():
+        runs["zstd -19"] = lambda: packing.find_zstd().ZstdCompressor(level=19).compress(data)
+    try:
+        import brotli
+
+        runs["brotli -11"] = lambda: brotli.compress(data, quality=11)
+    except ImportError:
+        pass
     out = []
     for name, run in runs.items():
         began = time.time()
@@ -105,7 +114,7 @@ def run(argv: list[str]) -> int:
         data = _read(args.paths[0] if args.paths else None)
         if args.command == "compress":
             effort = packing.ALWAYS if args.force_compress else packing.ADAPTIVE
-            _write(args.output, packing.write_stream(packing.pack(data, args.level, args.filter, effort), args.level), args.force)
+            _write(args.output, packing.write_stream(packing.pack(data, args.level, args.filter, effort, exact=args.exact), args.level), args.force)
         elif args.command == "decompress":
             _write(args.output, packing.unpack(*packing.read_stream(data), "the stream"), args.force)
         else:
@@ -121,7 +130,7 @@ def run(argv: list[str]) -> int:
         began = time.time()
         rows = tree.with_content(tree.scan(spark, rest, keep_going=args.keep_going))
         effort = packing.ALWAYS if args.force_compress else packing.ADAPTIVE
-        stats = container.write_archive(rows, archive, args.level, args.block_size, not args.no_dedup, not args.no_sort, args.filter, effort, overwrite=args.force)
+        stats = container.write_archive(rows, archive, args.level, args.block_size, not args.no_dedup, not args.no_sort, args.filter, effort, overwrite=args.force, exact=args.exact)
         _rows(reports.creation_summary(stats, time.time() - began), args.quiet)
     elif args.command == "extract":
         _rows(container.extract(spark, archive, args.output or args.directory, rest, overwrite=args.force).select("path"), not args.verbose)

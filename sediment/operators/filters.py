@@ -125,7 +125,7 @@ def quick_size(data: bytes) -> int:
 
 def analyze(data: bytes, size_of=quick_size) -> Analysis:
     """Filter for a block and whether to store it, from a sample. ``size_of`` judges how small a sample gets: the
-    default is a stand-in for the level-1 coder, which ``codec.level_one_size`` runs itself."""
+    default is a stand-in for the level-1 coder, which ``packing.level_one_size`` runs itself."""
     if len(data) < LEAST_PROBE:
         return Analysis(NONE, False)
     own = sample(data)

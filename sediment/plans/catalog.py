@@ -5,6 +5,7 @@ The tables stand for archives: each (source, language) is a file whose chunks ar
 
 from __future__ import annotations
 
+import os
 import uuid
 
 import pandas as pd
@@ -17,7 +18,7 @@ from ..functions import paths as ps
 from ..functions.varint import varint_bytes
 from ..operators import chunking, dedup, filters, layout, packing
 from . import reports
-from .staging import local_folder, stage
+from .staging import local_folder, shared_folder, stage
 
 BLOCK = 65536
 SELECTION = ["src1", "src2/part.en", "src3/"]
@@ -433,10 +434,9 @@ def delta_filter(spark, sf_dir):
 
 
 def _files(spark, sf_dir) -> DataFrame:
-    """One value per (source, language): its documents' bytes in order."""
-    parts = F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "content"))), lambda x: x["content"])
-    joined = F.aggregate(parts, F.lit(b""), lambda a, b: F.concat(a, b))
-    return _documents(spark, sf_dir).groupBy("path").agg(joined.alias("content"))
+    """One value per (source, language): its documents' bytes in order. A file's content is one value in this model."""
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("doc_id", F.col("content").cast("string").alias("text")))), lambda x: x["text"])
+    return _documents(spark, sf_dir).groupBy("path").agg(F.encode(F.array_join(parts, ""), "utf-8").alias("content"))
 
 
 _SIZES = (512, 2048, 8192)
@@ -483,10 +483,55 @@ def corruption_detected(spark, sf_dir):
     return rows.select("doc_id", packing.unpack_column(bad)["error"].isNotNull().alias("detected"))
 
 
-@_query("SELECT item_id, true AS same FROM benchmark")
+@_query("SELECT doc_id, true AS same FROM documents")
 def raw_stream_roundtrip(spark, sf_dir):
-    rows = _table(spark, sf_dir, "benchmark").select("item_id", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("content"))
-    return rows.select("item_id", (packing.unpack_stream_column(packing.pack_stream_column("content", 1)) == F.col("content")).alias("same"))
+    """Every document as a stream frame at level 1, and back."""
+    rows = _documents(spark, sf_dir).select("doc_id", "content")
+    return rows.select("doc_id", (packing.unpack_stream_column(packing.pack_stream_column("content", 1)) == F.col("content")).alias("same"))
+
+
+def _vectors(spark, sf_dir) -> DataFrame:
+    """Binary blocks: the components' shortest decimal digits of 64 vectors as bytes of a hash chain, where all byte values occur."""
+    text = F.concat_ws(",", F.transform("embedding", lambda x: x.cast("string")))
+    each = _table(spark, sf_dir, "embeddings").select("vec_id", F.concat(F.sha2(text, 256), F.sha2(F.concat(text, F.lit("|")), 256)).alias("h"))
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("vec_id", "h"))), lambda x: x["h"])
+    return each.groupBy(F.floor(F.col("vec_id") / 64).cast("long").alias("block")).agg(F.unhex(F.array_join(parts, "")).alias("content"))
+
+
+@_query("SELECT vec_id // 64 AS block, level, count(*) * 64 AS raw_len, true AS same FROM embeddings, (VALUES (1), (5), (9)) l(level) GROUP BY ALL")
+def codec_levels(spark, sf_dir):
+    """Binary blocks with few repeats in text form coded by method 1 at three levels, and back."""
+    rows = _vectors(spark, sf_dir).select("block", F.octet_length("content").cast("long").alias("raw_len"), F.encode(F.hex("content"), "utf-8").alias("content"))
+    found = None
+    for level in (1, 5, 9):
+        p = rows.select("block", "raw_len", "content", packing.pack_column("content", level, filter_byte=0, method=1).alias("p"))
+        one = p.select("block", F.lit(level).alias("level"), "raw_len", ((packing.unpack_column("p", level)["data"] == F.col("content")) & (F.col("p.method") == 1)).alias("same"))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+@_query("SELECT doc_id, octet_length(encode(text)) AS size FROM documents WHERE octet_length(encode(text)) > 0")
+def registered_chunks(spark, sf_dir):
+    """The table function in SQL: bytes of all chunks of each document."""
+    from ..functions import registry
+
+    registry.register(spark)
+    _documents(spark, sf_dir).select("doc_id", "content").createOrReplaceTempView("sediment_documents")
+    return spark.sql("SELECT doc_id, sum(c.len) AS size FROM sediment_documents d, LATERAL chunk(d.content, 512, 2048, 8192) c GROUP BY doc_id")
+
+
+@_query("SELECT DISTINCT left(sha256(text), 32) AS content_id, octet_length(encode(text)) AS size FROM documents")
+def streamed_contents(spark, sf_dir):
+    """Documents as a stream, each content let through once."""
+    from ..streaming.ingest import first_seen
+
+    path = f"{sf_dir}/documents.parquet"
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    texts = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
+    content = F.encode(F.coalesce("text", F.lit("")), "utf-8")
+    seen = first_seen(texts.select(hs.content_id_hex(content).alias("chunk_id"), F.octet_length(content).alias("size")))
+    seen.writeStream.format("parquet").option("path", f"{at}/store").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/store").select(F.col("chunk_id").alias("content_id"), "size")
 
 
 @_query("SELECT source || '/part.' || lang AS path, sum(octet_length(encode(text)))::BIGINT AS size, true AS ok FROM documents GROUP BY ALL")
@@ -500,13 +545,6 @@ def archive_roundtrip(spark, sf_dir):
     return stage(container.verify(spark, path).select("path", "size", "ok"), "verified")
 
 
-@_query("SELECT item_id, true AS analysed FROM benchmark")
-def analysis(spark, sf_dir):
-    """Text is neither machine code nor incompressible."""
-    rows = _table(spark, sf_dir, "benchmark").select("item_id", filters.analyze_column(F.encode(F.repeat("text", F.lit(40)), "utf-8")).alias("a"))
-    return rows.select("item_id", (~F.col("a.incompressible") & (F.col("a.filter") != 1)).alias("analysed"))
-
-
 def _archive(spark, sf_dir, **options) -> str:
     from ..sources import container
 
@@ -525,7 +563,7 @@ def archive_entries(spark, sf_dir):
     return found.select("path", "mode", "mtime", "size", F.lower(F.hex("content_id")).alias("content_id"))
 
 
-@_query("SELECT path, size FROM (SELECT source || '/part.' || lang AS path, sum(octet_length(encode(text)))::BIGINT AS size FROM documents GROUP BY ALL) WHERE starts_with(path, 'src1/') OR path = 'src2/part.en' OR starts_with(path, 'src3/')")
+@_query("SELECT path, size, content_id FROM (SELECT source || '/part.' || lang AS path, sum(octet_length(encode(text)))::BIGINT AS size, left(sha256(string_agg(text, '' ORDER BY doc_id)), 32) AS content_id FROM documents GROUP BY ALL) WHERE starts_with(path, 'src1/') OR path = 'src2/part.en' OR starts_with(path, 'src3/')")
 def archive_extract(spark, sf_dir):
     """The selected files, restored from an archive and read again as files."""
     from ..sources import container
@@ -533,7 +571,40 @@ def archive_extract(spark, sf_dir):
     dest = f"{local_folder(spark)}/restored-{uuid.uuid4().hex}"
     container.extract(spark, _archive(spark, sf_dir, method=0), dest, SELECTION).count()
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(dest)
-    return files.select(F.substring_index(F.col("path"), f"{dest.rsplit('/', 1)[1]}/", -1).alias("path"), F.col("length").alias("size"))
+    return files.select(F.substring_index(F.col("path"), f"{dest.rsplit('/', 1)[1]}/", -1).alias("path"), F.col("length").alias("size"), hs.content_id_hex("content").alias("content_id"))
+
+
+#: Bytes of an archive that are damaged, counted from the front or from the back, and the error that each is; 0 to 15 are
+#: the header, the last 40 the footer, the bytes before it the index, the bytes after the header the first block.
+DAMAGE = {
+    "magic": (0, "BadMagic"), "version": (4, "UnsupportedVersion"), "first block": (20, "IntegrityFailure"), "end magic": (-1, "Corrupt"),
+    "index checksum": (-16, "IntegrityFailure"), "index": (-41, "IntegrityFailure"), "index method": (-8, "Corrupt"),
+}
+
+
+@_query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{e}')" for k, (_, e) in DAMAGE.items()) + ", ('half of it', 'Corrupt'), ('nothing', 'BadMagic'), ('none', 'none')) t(damage, error)")
+def damage_errors(spark, sf_dir):
+    """What a strict check says of an archive of all files, damaged in one place each time."""
+    from ..model import ArchiveError
+    from ..sources import container
+
+    whole = _archive(spark, sf_dir, method=0)
+    with open(whole, "rb") as f:
+        data = f.read()
+
+    def flipped(at: int) -> bytes:
+        return data[:at] + bytes([data[at] ^ 0x40]) + data[at + 1 or len(data) :]
+
+    found = []
+    for name, bad in [*((k, flipped(at)) for k, (at, _) in DAMAGE.items()), ("half of it", data[: len(data) // 2]), ("nothing", b""), ("none", data)]:
+        with open(path := f"{whole}.{len(found)}", "wb") as f:
+            f.write(bad)
+        try:
+            container.verify(spark, path, strict=True)
+            found.append((name, "none"))
+        except ArchiveError as e:
+            found.append((name, type(e).__name__))
+    return spark.createDataFrame(found, "damage string, error string")
 
 
 @_query("SELECT path, size FROM (SELECT source || '/part.' || lang AS path, sum(octet_length(encode(text)))::BIGINT AS size FROM documents GROUP BY ALL)")
@@ -579,3 +650,64 @@ def document_samples(spark, sf_dir):
     """The sample of all bytes of each document."""
     sample = filters.sample_column(F.col("content"))
     return _documents(spark, sf_dir).select("doc_id", F.col("len").alias("total"), sample.alias("sample")).select("doc_id", "total", F.octet_length("sample").cast("long").alias("sampled"), hs.content_id_hex("sample").alias("sample_id"))
+
+
+@_whole
+def document_analysis(spark, sf_dir):
+    """Filter and verdict of the analysis of all bytes of each document."""
+    return _documents(spark, sf_dir).select("doc_id", "len", filters.analyze_column("content").alias("found")).select("doc_id", "len", "found.*")
+
+
+@_whole
+def branch_filter(spark, sf_dir):
+    """Binary blocks under the branch filter: bytes that it changes, and whether it is undone."""
+    rows = _vectors(spark, sf_dir).withColumn("out", filters.apply_column(F.lit(1), "content"))
+
+    @F.pandas_udf("long")
+    def changed(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([sum(x != y for x, y in zip(bytes(v), bytes(w), strict=True)) for v, w in zip(a, b, strict=True)])
+
+    return rows.select("block", F.octet_length("content").cast("long").alias("raw_len"), changed("content", "out").alias("changed"), (filters.unapply_column(F.lit(1), "out") == F.col("content")).alias("same"))
+
+
+# Reports on an archive that is really written
+
+
+def _written(spark, sf_dir):
+    """Statistics, entries, chunks, blocks and path of an archive of all files, coded at level 1."""
+    from ..sources import container
+
+    path = f"{local_folder(spark)}/reports-{uuid.uuid4().hex}.arc"
+    rows = _files(spark, sf_dir).select("path", F.lit(0).alias("kind"), F.lit(420).alias("mode"), F.lit(7).alias("mtime"), "content", F.lit(None).cast("string").alias("link_target"))
+    stats = container.write_archive(rows, path, level=1, block_size=BLOCK)
+    return stats, container.entries(spark, path), container.chunks(spark, path), container.blocks(spark, path), path
+
+
+@_whole
+def written_summary(spark, sf_dir):
+    """What is said of a written archive when it is done (but for the time), and what its index says of it later."""
+    stats, entries, chunks, _, path = _written(spark, sf_dir)
+    later = reports.info(entries, chunks, os.path.getsize(path))
+    names = {c: f"info_{c}" for c in later.columns}
+    said = reports.creation_summary(stats, 1.0).select("input", "deduped", "archive", "mostly_incompressible")
+    return stats.crossJoin(said).crossJoin(later.withColumnsRenamed(names))  # one row each
+
+
+@_whole
+def written_blocks(spark, sf_dir):
+    """The block report of a written archive."""
+    return reports.block_report(_written(spark, sf_dir)[3])
+
+
+@_whole
+def written_attribution(spark, sf_dir):
+    """The packed bytes charged to each file of a written archive."""
+    _, entries, chunks, blocks, _ = _written(spark, sf_dir)
+    return reports.size_attribution(entries, chunks, blocks).select("entry_idx", "path", "size", "packed")
+
+
+@_whole
+def written_extensions(spark, sf_dir):
+    """The roll-up by extension of a written archive."""
+    _, entries, chunks, blocks, _ = _written(spark, sf_dir)
+    return reports.by_extension(reports.size_attribution(entries, chunks, blocks))

@@ -2,6 +2,7 @@ import glob
 import hashlib
 import os
 import random
+import zlib
 
 import duckdb
 import numpy as np
@@ -82,6 +83,60 @@ def test_strides_and_samples_cover_whole_documents(spark, odd_documents):
 
 
 
+def test_analysis_of_whole_documents(spark, odd_documents):
+    import __spark_entry__
+
+    folder, data = odd_documents
+    got = {r.doc_id: r for r in __spark_entry__.queries()["document_analysis"](spark, folder).collect()}
+    assert set(got) == set(data)
+    for i, x in data.items():
+        size, want = min(24576, len(x)), (0, False)
+        if len(x) >= 8192:
+            n = max(1, min(8, len(x) // size))
+            own = b"".join(x[a : a + size] for a in (min(k * (len(x) // n), len(x) - size) for k in range(n)))
+            plain, stride = len(zlib.compress(own, 6)), filters.likely_stride(own)
+            better = stride and len(zlib.compress(filters.delta(own, stride, True), 6)) + plain * 2 // 100 < plain
+            want = (0, True) if plain * 100 >= 98 * len(own) else (64 + stride if better else 0, False)
+        assert (got[i].filter, got[i].incompressible) == want, i
+
+
+def test_branch_filter_changes_blocks(spark):
+    if not os.path.isdir(SF):
+        pytest.skip("needs the given tables")
+    got = catalog.WHOLE["branch_filter"](spark, SF).collect()
+    con = duckdb.connect()
+    n = con.execute(f"SELECT count(*) FROM '{SF}/embeddings.parquet'").fetchone()[0]
+    assert sum(g.raw_len for g in got) == 64 * n and all(g.same for g in got) and sum(g.changed for g in got) > 100
+
+
+def test_reports_on_a_written_archive(spark, tmp_path):
+    """Two sources and two languages with copies in both; every figure is summed up again from the files and the index."""
+    r = random.Random(17)
+    words = [f"word{k}" for k in range(400)]
+    rows = [(i, " ".join(r.choice(words) for _ in range(4000)), f"s{i % 2}", ("en", "de")[i // 2 % 2]) for i in range(12)]
+    rows += [(20 + i, rows[i][1], "s1", "de") for i in range(4)] + [(30, "".join(chr(r.randrange(128)) for _ in range(90000)), "s0", "raw")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    files = {}
+    for _, text, source, lang in sorted(rows):
+        files[f"{source}/part.{lang}"] = files.get(f"{source}/part.{lang}", b"") + text.encode()
+    unique = {c for x in files.values() for c in chunking.split(x)}
+    s = catalog.WHOLE["written_summary"](spark, str(tmp_path)).first()
+    total = sum(map(len, files.values()))
+    assert (s.files, s.raw_bytes, s.deduped_bytes) == (len(files), total, total - sum(map(len, unique)))
+    assert s.info_total_size == total and s.info_unique_size == sum(map(len, unique)) and s.info_archive_bytes == s.archive_bytes
+    assert s.info_ratio == pytest.approx(total / s.archive_bytes) and s.archive_bytes == 16 + s.stored_bytes + s.metadata_bytes
+    blocks = catalog.WHOLE["written_blocks"](spark, str(tmp_path)).collect()
+    assert sum(b.raw_len for b in blocks) == sum(map(len, unique)) and sum(b.n_chunks for b in blocks) == len(unique)
+    assert sum(b.comp_len for b in blocks) == s.stored_bytes and sum(b.stored for b in blocks) == s.stored_blocks and all(b.stored or b.comp_len < b.raw_len for b in blocks)
+    packed = {a.path: a for a in catalog.WHOLE["written_attribution"](spark, str(tmp_path)).collect()}
+    assert {p: a["size"] for p, a in packed.items()} == {p: len(x) for p, x in files.items()}
+    assert s.stored_bytes - len(files) <= sum(a.packed for a in packed.values()) <= s.stored_bytes
+    by_ext = {e.ext: e for e in catalog.WHOLE["written_extensions"](spark, str(tmp_path)).collect()}
+    for ext in ("en", "de", "raw"):
+        own = [a for p, a in packed.items() if p.endswith("." + ext)]
+        assert (by_ext[ext].files, by_ext[ext].raw, by_ext[ext].packed) == (len(own), sum(a["size"] for a in own), sum(a.packed for a in own))
+
+
 # Chunking
 
 
@@ -235,6 +290,37 @@ def test_blocks_of_ranges_equal_the_fold(spark, size):
     assert layout.pack_blocks(rows.limit(0), size).count() == 0
 
 
+@pytest.mark.parametrize("together", [2, 3])
+def test_runs_of_ranges_equal_the_fold(spark, monkeypatch, together):
+    """Chunks without bytes, ranges below and above a block, and runs of ranges."""
+    monkeypatch.setattr(layout, "TOGETHER", together)
+    r = random.Random(together)
+    for size in (90, 2000):
+        lens = [r.choice([0, 0, 1, 7, r.randint(1, 60)]) for _ in range(600)]
+        rows = spark.createDataFrame(list(enumerate(lens)), "chunk_idx long, len long").repartition(3)
+        got = layout.pack_blocks(rows, size).orderBy("chunk_idx").collect()
+        assert [g.block_idx for g in got] == layout.greedy_blocks(np.array(lens), size).tolist()
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 40), min_size=1, max_size=12), min_size=2, max_size=5), st.integers(1, 90))
+def test_states_of_two_runs_are_those_of_one(parts, size):
+    of = lambda x: layout.entry_states(np.array(x), size).assign(total=sum(x))
+    found = of(parts[0])
+    for p in parts[1:]:
+        found = layout.follow(found, of(p), size)
+    whole = of([x for p in parts for x in p])
+    for filled in range(size):
+        assert layout._next((0, filled), found, size) == layout._next((0, filled), whole, size)
+
+
+def test_deltas_over_ranges(spark):
+    values = [random.Random(3).randrange(10**6) for _ in range(400)]
+    rows = spark.createDataFrame(list(enumerate(values)), "i long, v long").repartition(6)
+    got = layout.lag_deltas(rows, "i", "v", "d").orderBy("i").collect()
+    assert [g.d for g in got] == [v - (values[k - 1] if k else 0) for k, v in enumerate(values)]
+
+
 def test_global_order(spark):
     values = list(range(500))
     random.Random(1).shuffle(values)
