@@ -40,7 +40,7 @@ from .components import components
 from .fingerprints import _mix
 
 #: Retained hashes, similarity, nodes of a short list, nodes of a block.
-K, SIMILARITY, SHORT, BLOCK = 48, 0.8, 16, 256
+K, SIMILARITY, SHORT, BLOCK = 48, 0.8, 6, 256
 #: Rows with full sets that a task takes of a node in any case.
 FULL_ROWS = 32
 #: Chance to miss a pair of exactly the wanted similarity.
@@ -216,7 +216,7 @@ def _lists(nodes: DataFrame, similarity: float) -> DataFrame:
     found = dealt_join(rows, often, ["value"], hot).groupBy("node", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("n", "value"))).alias("values"))
     s = F.least(F.col("n_shingles"), F.lit(K)).cast("int")
     least = _least_shared(F.col("n_shingles"), similarity)
-    need = F.least(least, F.greatest(F.lit(2), F.least(F.lit(4), F.floor(s / 10) + 1))).cast("int")
+    need = F.least(least, F.greatest(F.lit(2), F.least(F.lit(3), F.floor(s / 10) + 1))).cast("int")
     lonely = s - F.size("values")
     kept = F.slice("values", 1, F.greatest(F.lit(0), s - least + need - lonely))
     kept = found.select("node", need.alias("need"), kept.alias("values")).filter(F.size("values") >= F.col("need"))
@@ -325,15 +325,15 @@ def _blocked(members: DataFrame, similarity: float) -> tuple[DataFrame, DataFram
     """
     groups = members.groupBy("pivot").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
     total = members.count()
-    own = dealt_join(members, groups.select("pivot", F.col("n").alias("all")), ["pivot"], hot_keys(groups.select("pivot", "n"), total))
+    own = dealt_join(members, groups.select("pivot", F.col("n").alias("all")), ["pivot"], hot_keys(groups.select("pivot", "n"), total, FULL_ROWS))
     cls = F.floor(F.log("size") / math.log(1 / similarity) + 1e-9).cast("int") if similarity < 1 else F.col("size").cast("int")
     own = stage(own.withColumn("cls", F.when(F.col("all") > BLOCK, cls).otherwise(0)), "grouped")
     large = own.filter(F.col("all") > BLOCK).groupBy("pivot", "cls", "component").agg(F.count("*").alias("n")).filter(F.col("n") >= BLOCK)
-    pool_of = dealt_join(own, large.select("pivot", "cls", "component", F.col("component").alias("pool")), ["pivot", "cls", "component"], hot_keys(large, total), "left")
+    pool_of = dealt_join(own, large.select("pivot", "cls", "component", F.col("component").alias("pool")), ["pivot", "cls", "component"], hot_keys(large, total, FULL_ROWS), "left")
     pooled = stage(pool_of.withColumn("pool", F.coalesce("pool", F.lit(-1))), "pooled")
     pools = pooled.groupBy("pivot", "cls", "pool").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     number = F.xxhash64("pivot", "cls", "pool", "sub").alias("block")  # blocks of equal number would be compared as one
-    hot = hot_keys(pools.select("pivot", "cls", "pool", "n"), total)
+    hot = hot_keys(pools.select("pivot", "cls", "pool", "n"), total, FULL_ROWS)
     placed = dealt_join(pooled, pools.drop("n"), ["pivot", "cls", "pool"], hot).withColumn("sub", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("node", "component", number)
     blocks = stage(pools.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("pivot", "cls", "pool", number), "blocks")
     other = blocks.select("pivot", "cls", F.col("pool").alias("pool_j"), F.col("block").alias("j"))
