@@ -87,6 +87,22 @@ def test_discovered_identifiers_reveal_contexts_and_are_found_everywhere(spark):
     assert not any("523 555" in g.text for g in pii.redact(docs).collect())
 
 
+def test_many_spans_in_one_text(spark):
+    """Time grows with the spans, not with their square, and what is put together again is the text."""
+    import time
+
+    took = {}
+    for n in (2_000, 20_000, 60_000):
+        text = " ".join(f"call 555{k:07d} or a{k}@b.co" for k in range(n // 2))
+        docs = spark.createDataFrame([(1, text, "a"), (2, "x" * 9000 + "é" * 4096 + " c@d.io " + "😀" * 5000, "b")], "doc_id long, text string, spans string")
+        began = time.time()
+        got = {g.doc_id: g for g in pii.redact(docs).collect()}
+        took[n] = time.time() - began
+        assert got[1].text == " ".join(f"call 555{k:07d} or <email>" for k in range(n // 2)) and got[1].spans == "a"
+        assert got[2].text == "x" * 9000 + "é" * 4096 + " <email> " + "😀" * 5000
+    assert took[60_000] < 4 * took[20_000] + 5
+
+
 # Quality rules
 
 
@@ -385,6 +401,77 @@ def test_classifier_tells_held_out_documents(spark):
     assert quality_classifier.classify(docs.limit(0), labels).count() == 0
 
 
+def plain_classifier(rows, labels, bits=quality_classifier.BITS):
+    """Counts, sums, log odds, k and what is kept, with plain numbers; noise is taken from the result."""
+    import math
+
+    def grams(text):
+        raw = (text or "").encode()
+        return [((int.from_bytes(raw[i : i + 4], "big") * 0x9E3779B1) % 2**32) >> (32 - bits) for i in range(len(raw) - 3)]
+
+    known = {i: q for i, q in labels if i is not None and q is not None}
+    raw, target = Counter(), Counter()
+    for _, t in rows:
+        raw.update(grams(t))
+    one = {i: t for i, t in rows if i in known}  # ids that repeat have one text in this test
+    for i, t in one.items():
+        if known[i] == 1:
+            target.update(grams(t))
+    part = sum(target.values()) / max(1, sum(raw.values()))
+    ratio = lambda g: round(math.log((target[g] + 10) / (raw[g] * part + 10)) * 2**24) / 2**24
+    sums = [sum(map(ratio, grams(t))) for _, t in rows]
+    means = [s / (len(grams(t)) + 100) for s, (_, t) in zip(sums, rows, strict=True)]
+    x = {i: m for (i, _), m in zip(rows, means, strict=True) if i in known}
+    a = b = 0.0
+    for _ in range(100):  # Newton's steps with a small ridge
+        p = {i: 1 / (1 + math.exp(-a - b * x[i])) for i in x}
+        ga, gb = sum((known[i] == 1) - p[i] for i in x) - 2e-3 * a, sum(((known[i] == 1) - p[i]) * x[i] for i in x) - 2e-3 * b
+        w = {i: p[i] * (1 - p[i]) for i in x}
+        haa, hab, hbb = sum(w.values()) + 2e-3, sum(w[i] * x[i] for i in x), sum(w[i] * x[i] ** 2 for i in x) + 2e-3
+        det = haa * hbb - hab * hab
+        a, b = a + (hbb * ga - hab * gb) / det, b + (haa * gb - hab * ga) / det
+    return sums, [a + b * m for m in means]
+
+
+def test_classifier_equals_plain_numbers(spark):
+    """Overlapping classes, repeated rows, empty, null and very long texts; all columns."""
+    r = random.Random(31)
+    word = lambda good: r.choice(["the", "river", "runs", "over", "stones"] if r.random() < (0.7 if good else 0.35) else ["zq##", "BUY", "q|q", "$$"])
+    rows = [(i, " ".join(word(i % 4 == 0) for _ in range(r.randint(1, 30)))) for i in range(240)]
+    rows += [rows[7], rows[7], (None, "no id"), (None, "no id"), (500, None), (501, ""), (502, "abc"), (503, "é" * 9), (504, " ".join(word(True) for _ in range(60_000)))]
+    labels = [(i, int(i % 4 == 0)) for i in range(120)] + [(9, None), (None, 0), (7777, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = quality_classifier.classify(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    sums, odds = plain_classifier(rows, labels)
+    order = lambda x: (str(x[0]), *(round(v, 5) for v in x[1:]))
+    want = sorted(((i, s, o) for (i, _), s, o in zip(rows, sums, odds, strict=True)), key=order)
+    found = sorted(((g.doc_id, g.log_importance, g.log_weight) for g in got), key=order)
+    assert [w[0] for w in want] == [f[0] for f in found]
+    assert np.allclose([w[1:] for w in want], [f[1:] for f in found], rtol=1e-5, atol=1e-5)
+    k = sum(o >= quality_classifier.LEAST_ODDS for o in odds)
+    least = sorted((g.key for g in got), reverse=True)[k - 1]
+    assert 20 < k < 200 and all(g.kept == (g.key >= least) for g in got)
+    assert len({g.key for g in got if g.doc_id == 7}) == 1 and sum(g.doc_id == 7 for g in got) == 3
+    uniform = {(x.doc_id, x.text): x.u for x in docs.select("doc_id", "text", quality_classifier._uniform().alias("u")).collect()}
+    noise = sorted(-np.log(-np.log(u)) for u in uniform.values())
+    assert np.allclose(sorted({round(g.key - g.log_weight, 7) for g in got}), sorted({round(x, 7) for x in noise}), atol=1e-6)
+
+
+def test_plain_importance_resampling(spark):
+    """Of the k largest weights with noise; over many documents the good are drawn more often the larger their weights."""
+    r = random.Random(5)
+    rows = [(i, " ".join(r.choice(["river", "stones"] if i % 2 else ["zq##", "BUY"]) for _ in range(3))) for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    every = {g.doc_id: g for g in quality_classifier.resample(docs, labels, 400).collect()}
+    got = quality_classifier.resample(docs, labels, 150).collect()
+    assert len(every) == 400 and len(got) == 150
+    assert {g.doc_id for g in got} == set(sorted(every, key=lambda i: -every[i].key)[:150])
+    good = [g.log_importance for g in every.values() if g.doc_id % 2]
+    assert min(good) > max(g.log_importance for g in every.values() if g.doc_id % 2 == 0)
+    assert quality_classifier.resample(docs, labels, 0).count() == 0
+
+
 def test_kth_largest(spark):
     r = random.Random(8)
     values = [r.choice([r.random() * 1e6, 5.0, -1e-9 * r.random()]) for _ in range(500)]
