@@ -575,10 +575,10 @@ def archive_extract(spark, sf_dir):
 
 
 #: Bytes of an archive that are damaged, counted from the front or from the back, and the error that each is; 0 to 15 are
-#: the header, the last 40 the footer, the bytes before it the index, the bytes after the header the first block.
+#: the header, the last 40 the footer, the bytes after the header the first block.
 DAMAGE = {
     "magic": (0, "BadMagic"), "version": (4, "UnsupportedVersion"), "first block": (20, "IntegrityFailure"), "end magic": (-1, "Corrupt"),
-    "index checksum": (-16, "IntegrityFailure"), "index": (-41, "IntegrityFailure"), "index method": (-8, "Corrupt"),
+    "index checksum": (-16, "IntegrityFailure"), "index method": (-8, "Corrupt"),
 }
 
 
