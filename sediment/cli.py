@@ -10,6 +10,7 @@ import os
 import sys
 import time
 
+from . import __version__
 from .model import ArchiveError
 from .operators import packing
 
@@ -37,6 +38,7 @@ def parse_filter(text: str) -> int | None:
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="sediment")
+    p.add_argument("-V", "--version", action="version", version=f"sediment {__version__}")
     sub = p.add_subparsers(dest="command", required=True)
     for name, others in ALIASES.items():
         c = sub.add_parser(name, aliases=others)
@@ -45,7 +47,7 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("-l", "--level", type=int, default=5, choices=range(1, 10))
         c.add_argument("-o", "--output")
         c.add_argument("-C", "--directory", default=".")
-        c.add_argument("-j", "--threads", type=int, default=os.cpu_count() or 1)
+        c.add_argument("-T", "-j", "--threads", type=int, default=os.cpu_count() or 1)
         c.add_argument("-b", "--block-size", type=parse_size, default=16 << 20)
         c.add_argument("--no-dedup", action="store_true")
         c.add_argument("--no-sort", action="store_true")
@@ -128,7 +130,7 @@ def run(argv: list[str]) -> int:
     spark = _session(args.threads)
     if args.command == "create":
         began = time.time()
-        rows = tree.with_content(tree.scan(spark, rest, keep_going=args.keep_going))
+        rows = tree.scan(spark, rest, keep_going=args.keep_going)
         effort = packing.ALWAYS if args.force_compress else packing.ADAPTIVE
         stats = container.write_archive(rows, archive, args.level, args.block_size, not args.no_dedup, not args.no_sort, args.filter, effort, overwrite=args.force, exact=args.exact)
         _rows(reports.creation_summary(stats, time.time() - began), args.quiet)

@@ -15,11 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.paths import archive_path
+from ..operators.chunking import file_windows
 from ..model import DIRECTORY, FILE, SYMLINK, UnsafePath
 
 SCHEMA = "disk string, path string, kind tinyint, mode bigint, mtime bigint, size bigint, link_target string"
-#: Bytes that are read at once.
-WINDOW = 4 << 20
 
 
 def normal(path: str) -> str:
@@ -103,7 +102,10 @@ def scan(spark: SparkSession, roots: list[str], follow_symlinks: bool = False, k
 
 
 def with_content(rows: DataFrame) -> DataFrame:
-    """The rows with ``content``, read window by window; the size is that of the bytes read. Null for other kinds."""
+    """The rows with ``content``, a value below 2 GB; the size is that of the bytes read. Null for other kinds.
+
+    ``write_archive`` takes rows without it too, and then reads files of any size from where they are.
+    """
 
     def run(batches):
         for b in batches:
@@ -112,8 +114,7 @@ def with_content(rows: DataFrame) -> DataFrame:
                 disk, kind, size = (b.column(k)[i].as_py() for k in at)
                 data = None
                 if kind == FILE:
-                    with open(disk, "rb") as f:
-                        data = b"".join(iter(lambda: f.read(WINDOW), b""))  # noqa: B023
+                    data = b"".join(file_windows(disk))
                     size = len(data)
                 one = b.slice(i, 1).set_column(at[2], "size", pa.array([size], pa.int64()))
                 yield pa.RecordBatch.from_arrays([*one.columns, pa.array([data], pa.binary())], [*one.schema.names, "content"])
