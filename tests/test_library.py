@@ -83,6 +83,15 @@ def test_strides_and_samples_cover_whole_documents(spark, odd_documents):
 
 
 
+def test_files_are_written_in_parts(spark, odd_documents):
+    """Files to archive come as paths, so that none is a value in memory."""
+    folder, texts = odd_documents
+    rows, where = catalog._on_disk(spark, folder, 0)
+    want = {f"src{k}/part.en": b"".join(t for i, t in sorted(texts.items()) if i % 3 == k) for k in range(3)}
+    assert "content" not in rows.columns and {r.path: open(r.disk, "rb").read() for r in rows.collect()} == want
+    assert len(os.listdir(where)) == 3
+
+
 def test_analysis_of_whole_documents(spark, odd_documents):
     import __spark_entry__
 
