@@ -2,6 +2,7 @@ import glob
 import hashlib
 import os
 import random
+import tracemalloc
 import zlib
 
 import duckdb
@@ -92,6 +93,21 @@ def test_files_are_written_in_parts(spark, odd_documents):
     assert len(os.listdir(where)) == 3
 
 
+def test_damage_takes_no_memory_of_the_archive(spark, tmp_path):
+    """Python's memory in the driver stays far below the archive's size, and no damaged copy is left."""
+    r = random.Random(3)
+    text = lambda i: "".join(r.choices("abcdefghijklmnop ", k=500_000))
+    spark.createDataFrame([(i, text(i), f"src{i % 3}", "en") for i in range(16)], "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    before = set(os.listdir(catalog.local_folder(spark)))
+    tracemalloc.start()
+    found = catalog.damage_errors(spark, str(tmp_path))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = {k: e for k, (_, e) in catalog.DAMAGE.items()} | {"half of it": "Corrupt", "nothing": "BadMagic", "none": "none"}
+    assert {r.damage: r.error for r in found.collect()} == want and peak < 16 * 500_000
+    assert not [x for x in set(os.listdir(catalog.local_folder(spark))) - before if ".arc" in x]
+
+
 def test_analysis_of_whole_documents(spark, odd_documents):
     import __spark_entry__
 
