@@ -12,11 +12,11 @@ def _col(x) -> Column:
     return x if isinstance(x, Column) else F.col(x)
 
 
-def format_bytes(n) -> Column:
-    """``999 B``, ``1.5 KiB``, ``200 KiB``: a decimal below 100, ties to even."""
+def format_bytes(n, largest: str = UNITS[-1]) -> Column:
+    """``999 B``, ``1.5 KiB``, ``200 KiB``: a decimal below 100, ties to even; no unit above the ``largest``."""
     n = _col(n)
     out = F.concat(n.cast("string"), F.lit(" B"))
-    for k, unit in enumerate(UNITS[1:], 1):
+    for k, unit in enumerate(UNITS[1 : UNITS.index(largest) + 1], 1):
         v = n.cast("double") / float(1024**k)
         text = F.when(v >= 100, F.format_string("%.0f", F.bround(v, 0))).otherwise(F.format_string("%.1f", F.bround(v, 1)))
         out = F.when(n >= 1024**k, F.concat(text, F.lit(" " + unit))).otherwise(out)

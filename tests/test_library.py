@@ -45,6 +45,15 @@ def test_query_equals_its_sql(spark, name):
     assert sorted(got.columns) == sorted(want.columns) and canonical(got) == canonical(want)
 
 
+def test_readable_sizes_of_large_keys_equal_their_sql(spark, tmp_path):
+    keys = [1, 9, 280, 9000, 290_800, 290_900, 3_000_001, 9_000_000, 9_306_113, 40_000_007]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    got = catalog.human_bytes(spark, str(tmp_path)).toPandas()
+    assert canonical(got) == canonical(con.execute(catalog.ORACLE["human_bytes"]).df())
+
+
 # Bytes of whole documents
 
 
