@@ -24,8 +24,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as their source's target asks for."""
-    return mixing.mixed_documents(docs)
+    """The documents as often as entropy balancing asks for: sources meet their targets, languages keep near their share."""
+    return mixing.mixed_documents(docs, classes="lang")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

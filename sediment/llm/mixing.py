@@ -243,8 +243,8 @@ def _mix(docs: DataFrame, weights, most: int, classes: str | None, row: str | No
     return out.withColumn("taken", F.col("copies") * F.col("size"))
 
 
-def mixed_documents(docs: DataFrame, weights=WEIGHTS, most: int = MOST, classes: str | None = None) -> DataFrame:
-    """The documents, each as often as the mix takes it, with their columns, whatever their names."""
+def mixed_documents(docs: DataFrame, weights=WEIGHTS, most: int = MOST, classes: str | None = "lang") -> DataFrame:
+    """The documents, each as often as the balanced mix takes it, with their columns, whatever their names."""
     keyed = stage(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), "mix-docs", keep=True)
     fields = {name: F.col(f"doc.`{name}`").alias(name) for name in ("doc_id", "text", "source", *([classes] if classes else []))}
     copies = mix(keyed.select("row", *fields.values()), weights, most, classes, row="row").filter("copies > 0").select("row", F.col("copies").cast("int").alias("copies"))

@@ -8,6 +8,7 @@ from collections import defaultdict
 from itertools import pairwise
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sediment.llm import mixing, warc
@@ -118,6 +119,19 @@ def test_two_families_of_constraints(spark):
     assert off(by_class) < 0.6 * off(plain)
 
 
+def test_the_pipeline_balances_languages(spark):
+    """The stage takes what the balanced mix takes of each source and language, and not what sources alone would have."""
+    r = random.Random(6)
+    shares = {"a": (9, 1, 0), "b": (2, 5, 3), "c": (1, 1, 8)}
+    rows = [(" ".join(["w"] * r.randint(1, 30)), "lmn"[c], s) for s, n in shares.items() for c in range(3) for _ in range(n[c] * 40)]
+    docs = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "doc_id long, text string, lang string, source string").repartition(3)
+    words = lambda found: {(g.source, g.lang): g.n for g in found.groupBy("source", "lang").agg(F.sum("n").alias("n")).collect()}
+    got = words(corpus_pipeline.mix(spark, docs, "").withColumn("n", F.size(F.split("text", " "))))
+    balanced, alone = (words(mixing.mix(docs, classes=c, row="lang").withColumn("n", F.col("taken"))) for c in ("lang", None))
+    assert all(abs(got.get(k, 0) - balanced[k]) <= 60 for k in balanced)  # two documents: which ones are turned hangs on row numbers
+    assert max(abs(got.get(k, 0) - alone[k]) for k in alone) > 300
+
+
 CLASHING = ["copies", "spans", "rid", "_row", "_copy", "_id", "_key", "_weight", "bucket", "row", "doc", "key", "log_weight", "text_", "whole", "noise", "node", "kept", "unnamed", "part", "_part", "n", "place", "size", "mark", "new"]
 
 
